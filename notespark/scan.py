@@ -23,7 +23,7 @@ GROUP_ROWS_SETTING = "spark.notespark.groupRows"
 
 @dataclass(frozen=True)
 class Scan:
-    kind: str  # "sum" | "last" | "next"
+    kind: str  # "sum" | "min" | "last" | "next"
     value: Column
     inclusive: bool
 
@@ -32,6 +32,10 @@ def running_sum(value: Column, inclusive: bool = True) -> Scan:
     return Scan("sum", value, inclusive)
 
 
+def running_min(value: Column) -> Scan:
+    return Scan("min", value, True)
+
+
 def row_number() -> Scan:
     return Scan("sum", F.lit(1).cast("bigint"), True)
 
@@ -74,13 +78,19 @@ def _over(s: Scan, w) -> Column:
     frame = w.rowsBetween(first, 0 if s.inclusive else -1)
     if s.kind == "last":
         return F.last(s.value, ignorenulls=True).over(frame)
+    if s.kind == "min":
+        return F.min(s.value).over(frame)
     return F.coalesce(F.sum(s.value).over(frame), F.lit(0))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], **outputs: Scan) -> DataFrame:
-    """Add one column per output. ``order`` names columns sorted ascending, unique per key."""
+def scan(df: DataFrame, keys: list[str], order: list[str], sizes: tuple[int, int] | None = None,
+         **outputs: Scan) -> DataFrame:
+    """Add one column per output. ``order`` names columns sorted ascending, unique per key.
+
+    ``sizes`` is a result of ``key_sizes``, for callers that scan the same rows repeatedly.
+    """
     limit = group_rows(df)
-    top, total = key_sizes(df, keys)
+    top, total = sizes or key_sizes(df, keys)
     if top <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_over(s, w).alias(name) for name, s in outputs.items()])
@@ -94,15 +104,15 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
         "runs",
     )
     position = F.struct(*order)
-    parts = [F.count(F.lit(1)).alias("__n")]
+    parts = [F.count(F.lit(1)).alias("__rows")]
     for name, s in outputs.items():
         present = F.when(s.value.isNotNull(), position)
-        if s.kind == "sum":
-            parts.append(F.sum(s.value).alias(f"__{name}"))
+        if s.kind in ("sum", "min"):
+            parts.append(getattr(F, s.kind)(s.value).alias(f"__p_{name}"))
         elif s.kind == "last":
-            parts.append(F.max_by(s.value, present).alias(f"__{name}"))
+            parts.append(F.max_by(s.value, present).alias(f"__p_{name}"))
         else:
-            parts.append(F.min_by(s.value, present).alias(f"__{name}"))
+            parts.append(F.min_by(s.value, present).alias(f"__p_{name}"))
     per_run = run.groupBy("__run", *keys).agg(*parts)
 
     # Only a key at the border of a run can go on in another one: at most two keys per run.
@@ -112,9 +122,9 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
     after = w.rowsBetween(1, Window.unboundedFollowing)
     carried = []
     for name, s in outputs.items():
-        c = F.col(f"__{name}")
-        if s.kind == "sum":
-            carried.append(F.sum(c).over(before).alias(f"__c_{name}"))
+        c = F.col(f"__p_{name}")
+        if s.kind in ("sum", "min"):
+            carried.append(getattr(F, s.kind)(c).over(before).alias(f"__c_{name}"))
         elif s.kind == "last":
             carried.append(F.last(c, ignorenulls=True).over(before).alias(f"__c_{name}"))
         else:
@@ -137,7 +147,12 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
     result = []
     for name, s in outputs.items():
         mine, theirs = F.col(f"__l_{name}"), F.col(f"__c_{name}")
-        value = mine + F.coalesce(theirs, F.lit(0)) if s.kind == "sum" else F.coalesce(mine, theirs)
+        if s.kind == "sum":
+            value = mine + F.coalesce(theirs, F.lit(0))
+        elif s.kind == "min":
+            value = F.least(mine, theirs)
+        else:
+            value = F.coalesce(mine, theirs)
         result.append(value.alias(name))
     return joined.select(*df.columns, *result)
 
