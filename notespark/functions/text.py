@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F, types as T
 LIGATURES = [("\x1b", "ff"), ("\x1c", "fi"), ("\x1d", "fl"), ("\x1e", "ffi"), ("\x1f", "ffl")]
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
-PRIVATE_OR_CONTROL = r"[\x{E000}-\x{F8FF}]|(?![\t\n])[\x00-\x1f\x7f]"
+PRIVATE_OR_CONTROL = r"[\x{E000}-\x{F8FF}\x00-\x08\x0b-\x1f\x7f]"
 PAGE_FOOTER = r"(?Umd)^\s*Seite\s+\d+\s+von\s+\d+\s*$\n?"
 LEADING_NUMBER = r"(?U)^\d+(?:\.\d+)*\.?\s+"
 LIST_ITEM = r"(?U)^(\(?[a-z]\)|\(?[ivx]+\)|\d+[.)]|[•\-–])\s"
@@ -60,7 +60,7 @@ def fix_ligatures(c: Column) -> Column:
     """OT1 ligature bytes next to a letter. Neighbours are judged on the original text, so
     the hits are marked in one pass and spelled out afterwards."""
     out = F.regexp_replace(
-        c, rf"(?<={LETTER})([\x1b-\x1f])|([\x1b-\x1f])(?={LETTER})", _MARK + "$1$2"
+        c, rf"([\x1b-\x1f])(?:(?<={LETTER}[\x1b-\x1f])|(?={LETTER}))", _MARK + "$1"
     )
     for byte, letters in LIGATURES:
         out = F.replace(out, F.lit(_MARK + byte), F.lit(letters))
@@ -68,7 +68,7 @@ def fix_ligatures(c: Column) -> Column:
 
 
 def fix_eszett(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<={LETTER})ÿ|ÿ(?={LETTER})", "ß")
+    return F.regexp_replace(c, rf"ÿ(?:(?<={LETTER}ÿ)|(?={LETTER}))", "ß")
 
 
 def strip_undisplayable(c: Column) -> Column:
