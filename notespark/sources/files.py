@@ -30,10 +30,10 @@ def scan_files(spark: SparkSession, root: str, globs: list[str] | None = None, r
 
 
 def _as_list(c: Column) -> Column:
-    """A JSON string or list of strings as an array."""
-    text = F.trim(c)
-    one = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
-    return F.when(text.startswith("["), F.from_json(c, "array<string>")).when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(one))
+    """A field that holds one string or a JSON list of strings, as an array."""
+    none = F.array().cast("array<string>")
+    return F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).when(
+        F.coalesce(c, F.lit("")) == "", none).otherwise(F.array(c))
 
 
 def rules_from_json(config: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
