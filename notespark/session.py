@@ -26,6 +26,7 @@ def build_session(app: str = "notespark", master: str | None = None,
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "12g")
         )
     if shuffle_partitions:
