@@ -166,15 +166,9 @@ def fold(c: Column) -> Column:
 def trigrams(c: Column) -> Column:
     """Distinct 3-character pieces of the folded text; none for fewer than 3 characters.
 
-    The folded text is bound once as a one-element array, else it is folded per trigram.
+    One pass of a lookahead: cutting pieces by position would walk the text for each of them.
     """
-    def pieces(q: Column) -> Column:
-        return F.when(
-            F.length(q) >= 3,
-            F.transform(F.sequence(F.lit(1), F.length(q) - 2), lambda i: F.substring(q, i, F.lit(3))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.element_at(F.transform(F.array(fold(c)), pieces), 1))
+    return F.array_distinct(F.regexp_extract_all(fold(c), F.lit("(?=(...))"), F.lit(1)))
 
 
 def base_name(c: Column) -> Column:

@@ -1,15 +1,14 @@
 """Folds along an order, where a row's fate depends on what became of earlier rows.
 
-Keys whose rows fit one task are folded in a grouped function. For larger keys the same fold
+Keys whose rows fit one task are folded in one pass over sorted partitions. For larger keys the same fold
 is a chain of pointers (from a taken row to the next row that would be taken after it), and
 the rows on the chain are found by pointer doubling: log2(n) joins, no row limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -45,16 +44,25 @@ def on_chain(pointers: DataFrame, keys: list[str], start: DataFrame) -> DataFram
         jump = staged(jump.join(landing, [*keys, "to"]).select(*at, F.col("__far").alias("to")), "jump")
 
 
-def _grouped(df: DataFrame, keys: list[str], order: str, name: str, type_: T.DataType,
-             fold: Callable[[pd.DataFrame], list]) -> DataFrame:
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], value: list[str], name: str,
+                type_: T.DataType, start: object, step: Callable) -> DataFrame:
+    """Add ``name``: ``step(state, *values) -> (state, output)`` over the rows of each key in
+    order, from ``start``. One pass over sorted partitions, with the state of the current key
+    carried from batch to batch, so neither many small keys nor a long one cost memory."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, type_)])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        group[name] = fold(group)
-        return group
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, start
+        for batch in batches:
+            out = []
+            for key, *values in zip(zip(*[batch[k] for k in keys]), *[batch[v] for v in value]):
+                if key != current:
+                    current, state = key, start
+                state, result = step(state, *values)
+                out.append(result)
+            yield batch.assign(**{name: out})
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def pack_batches(items: DataFrame, keys: list[str], room: int, size: str = "size",
@@ -63,18 +71,13 @@ def pack_batches(items: DataFrame, keys: list[str], room: int, size: str = "size
     ``room``; an oversized item is a batch of its own. Sizes are not negative."""
     small, hot = split_hot(items, keys)
 
-    def fold(group: pd.DataFrame) -> list:
-        sizes = group[size].to_numpy()
-        upto, batch = sizes.cumsum(), np.zeros(len(sizes), dtype="int64")
-        start, number = 0, 0
-        while start < len(sizes):
-            full = upto[start] - sizes[start] + room
-            stop = max(start + 1, int(np.searchsorted(upto, full, side="right")))
-            batch[start:stop] = number
-            start, number = stop, number + 1
-        return batch
-
-    packed = _grouped(small, keys, order, "batch", T.LongType(), fold)
+    def step(state: tuple, value: int) -> tuple:
+        batch, used = state
+        opens = batch < 0 or used + value > room
+        state = (batch + 1, value) if opens else (batch, used + value)
+        return state, state[0]
+
+    packed = fold_sorted(small, keys, [order], [size], "batch", T.LongType(), (-1, 0), step)
     if hot is None:
         return packed
     # pos -> first item beyond the room of a batch that starts at pos
@@ -102,15 +105,11 @@ def monotone(cands: DataFrame, keys: list[str], value: str = "last", order: str
         cands, exempt = cands.withColumn("__exempt", F.lit(False)), "__exempt"
     small, hot = split_hot(cands, keys)
 
-    def fold(group: pd.DataFrame) -> list:
-        kept, previous = [], 0
-        for v, free in zip(group[value], group[exempt]):
-            take = bool(free) or 0 < v - previous <= gap
-            previous = v if take else previous
-            kept.append(take)
-        return kept
+    def step(previous: int, v: int, free: bool) -> tuple:
+        take = bool(free) or previous < v <= previous + gap
+        return (v if take else previous), take
 
-    kept = _grouped(small, keys, order, "__keep", T.BooleanType(), fold)
+    kept = fold_sorted(small, keys, [order], [value, exempt], "__keep", T.BooleanType(), 0, step)
     if hot is not None:
         kept = kept.unionByName(_monotone_hot(hot, keys, value, order, exempt, gap))
     return kept.filter("__keep").drop("__keep", "__exempt")

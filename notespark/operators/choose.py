@@ -16,6 +16,7 @@ from ..scan import row_number, running_sum, scan
 from .outline import with_ancestors
 
 COURSE = ["course"]
+Sizes = tuple[int, int] | None  # an upper bound of scan.key_sizes, to save the count
 
 
 def statements(entries: DataFrame, algorithms: bool = False) -> DataFrame:
@@ -167,17 +168,17 @@ def pick(scores: DataFrame, keys: list[str], threshold: float = 0.5,
 
 # --- Budget ----------------------------------------------------------------------------
 
-def trim(proofs: DataFrame, base: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def trim(proofs: DataFrame, base: DataFrame, keys: list[str], limit: int, sizes: Sizes = None) -> DataFrame:
     """Add ``kept``, ``spent`` (base and kept proofs) and ``total``: proofs go least certain
     first (``p``, then ``ord``) until the rest fits ``limit``. ``base`` has (keys, base)."""
     sums = proofs.groupBy(*keys).agg(F.sum("cost").alias("__all"))
-    ranked = scan(proofs, keys, ["p", "ord"], __before=running_sum(F.col("cost"), inclusive=False))
+    ranked = scan(proofs, keys, ["p", "ord"], sizes, __before=running_sum(F.col("cost"), inclusive=False))
     left = ranked.join(sums, keys).join(base, keys, "left").withColumn("base", F.coalesce("base", F.lit(0)))
     fits = F.col("base") + F.col("__all") - F.col("__before") <= limit
     return left.select(*proofs.columns, "base", fits.alias("kept"))
 
 
-def refill(trimmed: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def refill(trimmed: DataFrame, keys: list[str], limit: int, sizes: Sizes = None) -> DataFrame:
     """Put dropped proofs back, most certain first, where they still fit. Costs are whole
     numbers. Replaces ``kept``.
 
@@ -190,7 +191,7 @@ def refill(trimmed: DataFrame, keys: list[str], limit: int) -> DataFrame:
     dropped = trimmed.filter("not kept").join(room, keys).withColumn(
         "__room", (F.lit(limit) - F.col("__base") - F.col("__kept")).cast("bigint"))
     possible = dropped.filter("__room >= 0 and cost <= __room").withColumn("__np", -F.col("p"))
-    ranked = scan(possible, [*keys, "cost"], ["__np", "ord"], __k=row_number())
+    ranked = scan(possible, [*keys, "cost"], ["__np", "ord"], sizes, __k=row_number())
     few = ranked.filter("cost = 0 or __k <= __room div cost")
 
     def step(state: Column, x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -43,21 +45,30 @@ def acyclic_edges(edges: DataFrame, keys: list[str], threshold: float = DEPENDS_
 
     schema = T.StructType(core.schema.fields)
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["p", "ord"], ascending=[False, True], kind="stable")
+    def keep(group: pd.DataFrame) -> np.ndarray:
         codes, _ = pd.factorize(pd.concat([group["a"], group["b"]]))
         a, b = codes[: len(group)], codes[len(group):]
-        n = codes.max() + 1
-        reach = np.eye(n, dtype=bool)  # reach[x, y]: a path of kept edges from x to y
+        reach = np.eye(codes.max() + 1, dtype=bool)  # reach[x, y]: kept edges lead from x to y
         taken = np.zeros(len(group), dtype=bool)
         for i, (x, y) in enumerate(zip(a, b)):
-            if reach[y, x]:
-                continue
-            taken[i] = True
-            reach[reach[:, x]] |= reach[y]
-        return group[taken]
-
-    kept = core.groupBy(*keys).applyInPandas(keep, schema)
+            if not reach[y, x]:
+                taken[i] = True
+                reach[reach[:, x]] |= reach[y]
+        return taken
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the key at the end of a batch may go on in the next one
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            number = rows[keys].ne(rows[keys].shift()).any(axis=1).cumsum().to_numpy()
+            rest = rows[number == number[-1]] if len(rows) else rows
+            for _, group in rows[number != number[-1]].groupby(number[number != number[-1]]):
+                yield group[keep(group)]
+        if rest is not None and len(rest):
+            yield rest[keep(rest)]
+
+    ordered = core.withColumn("__np", -F.col("p"))
+    kept = ordered.repartition(*keys).sortWithinPartitions(*keys, "__np", "ord").select(*core.columns).mapInPandas(run, schema)
     return kept if free is None else kept.unionByName(free.select(*kept.columns))
 
 

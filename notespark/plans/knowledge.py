@@ -16,13 +16,17 @@ def extract_entries(pages: DataFrame, styled: DataFrame) -> tuple[DataFrame, Dat
     """
     verified = staged(H.verify_page_headers(H.header_candidates(pages), styled), "headers")
     headers = H.number_blocks(verified.filter("accepted"))
+    numbered = headers.filter("kind = 'numbered'").select(
+        "doc_id", F.col("block").alias("pos"), "type", "number", "name", "page")
+    named = H.set_ids(numbered, ["doc_id"])
     texts = H.cut_blocks(pages, headers)
-    blocks = headers.filter("kind <> 'boundary'").join(texts, ["doc_id", "block"], "left")
-    blocks = blocks.withColumn("text", F.coalesce("text", F.lit("")))
-    entries = H.attach_followups(blocks, ["doc_id"]).select(
-        "doc_id", F.col("block").alias("pos"), F.lit("numbered").alias("kind"), "type", "number",
-        F.split("number", r"\.")[0].cast("int").alias("chapter"), "name", "page", "text", "proof")
-    return H.set_ids(entries, ["doc_id"]), H.rejected(verified, ["doc_id"])
+    blocks = headers.filter("kind <> 'boundary'").join(texts, ["doc_id", "block"], "left").select(
+        "doc_id", "block", "kind", "target", F.coalesce("text", F.lit("")).alias("text"))
+    bodies = H.attach_followups(blocks, ["doc_id"]).select("doc_id", F.col("block").alias("pos"), "text", "proof")
+    entries = named.join(bodies, ["doc_id", "pos"]).select(
+        "doc_id", "pos", F.lit("numbered").alias("kind"), "type", "number",
+        F.split("number", r"\.")[0].cast("int").alias("chapter"), "name", "page", "text", "proof", "id")
+    return entries, H.rejected(verified, ["doc_id"])
 
 
 def extract_knowledge(pages: DataFrame, styled: DataFrame, outline_raw: DataFrame

@@ -87,7 +87,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sizes: tuple[int, int
          **outputs: Scan) -> DataFrame:
     """Add one column per output. ``order`` names columns sorted ascending, unique per key.
 
-    ``sizes`` is a result of ``key_sizes``, for callers that scan the same rows repeatedly.
+    ``sizes`` is a result of ``key_sizes``, or an upper bound of it (of the source rows, or of
+    coarser keys), for callers that scan the same rows repeatedly.
     """
     limit = group_rows(df)
     top, total = sizes or key_sizes(df, keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import budget as B, chains as C, choose as S, lookup as J, outline as O
+from ..scan import key_sizes
 from . import REGISTRY, table
 
 q = REGISTRY.query
@@ -174,14 +175,14 @@ def _proofs(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     numbered = J.merged_order(li, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"])
     proofs = numbered.select("l_orderkey", F.col("place").alias("ord"), F.col("l_discount").alias("p"), F.col("l_quantity").cast("bigint").alias("cost"))
-    return proofs, li.select("l_orderkey").distinct().withColumn("base", F.lit(10))
+    return proofs, li.select("l_orderkey").distinct().withColumn("base", F.lit(10)), key_sizes(li, ["l_orderkey"])
 
 
 @q(f"WITH {BUDGET} SELECT k AS l_orderkey, ord, cost, kept FROM t")
 def q_trim_budget(spark, sf_dir):
     """Lines of an order go by ascending discount until 100 units fit."""
-    proofs, base = _proofs(spark, sf_dir)
-    return S.trim(proofs, base, ["l_orderkey"], 100).select("l_orderkey", "ord", "cost", "kept")
+    proofs, base, sizes = _proofs(spark, sf_dir)
+    return S.trim(proofs, base, ["l_orderkey"], 100, sizes).select("l_orderkey", "ord", "cost", "kept")
 
 
 @q(f"""WITH RECURSIVE {BUDGET},
@@ -193,8 +194,8 @@ SELECT t.k AS l_orderkey, t.ord, t.cost, t.kept OR coalesce(f.back, false) AS ke
 """)
 def q_trim_refill(spark, sf_dir):
     """And dropped lines return, the most discounted first, where they still fit."""
-    proofs, base = _proofs(spark, sf_dir)
-    return S.refill(S.trim(proofs, base, ["l_orderkey"], 100), ["l_orderkey"], 100).select("l_orderkey", "ord", "cost", "kept")
+    proofs, base, sizes = _proofs(spark, sf_dir)
+    return S.refill(S.trim(proofs, base, ["l_orderkey"], 100, sizes), ["l_orderkey"], 100, sizes).select("l_orderkey", "ord", "cost", "kept")
 
 
 @q("""
