@@ -103,14 +103,14 @@ def header_candidates(pages: DataFrame) -> DataFrame:
 
 
 def verify_headers(cands: DataFrame, styled: DataFrame, keys: list[str], word: str,
-                   order: list[str]) -> DataFrame:
+                   order: list[str], sizes: tuple[int, int] | None = None) -> DataFrame:
     """Add ``accepted``: the k-th candidate of a word in a group needs k styled words there.
 
     A styled word is used up by one candidate and may stand anywhere in the group, so the
     rank among the candidates against the count of styled words decides.
     """
     by_word = [*keys, word]
-    ranked = scan(cands.filter(F.col(word).isNotNull()), by_word, order, __rank=row_number())
+    ranked = scan(cands.filter(F.col(word).isNotNull()), by_word, order, sizes, __rank=row_number())
     supply = styled.groupBy(*by_word).agg(F.count(F.lit(1)).alias("__supply"))
     checked = (
         ranked.join(supply, by_word, "left")
@@ -142,7 +142,8 @@ def verify_page_headers(cands: DataFrame, styled: DataFrame) -> DataFrame:
     page = ["doc_id", "page"]
     special = cands.filter(F.col("word") == COMBINED_TYPE).select(*page).distinct()
     plain = verify_headers(
-        cands.join(special, page, "left_anti"), styled, page, "word", ["line_no", "ord"])
+        cands.join(special, page, "left_anti"), styled, page, "word", ["line_no", "ord"],
+        sizes=(0, 0))  # the text of a page is one value, so are its headers few
 
     fields = [c for c in cands.columns if c not in page]
     queues = styled.join(special, page, "left_semi").groupBy(*page).agg(
