@@ -162,12 +162,24 @@ def source_of(targets: DataFrame, nodes: DataFrame, entries: DataFrame, notes: D
 
 def page_of_task(pages: DataFrame, tasks: DataFrame) -> DataFrame:
     """(sheet_id, number, page): the page that holds the first 60 characters of the task's
-    first line, else its first three words. A task meets only the pages of its own sheet."""
+    first line, else its first three words.
+
+    A word with blanks on both sides in what is looked for is a whole word of the page, so
+    pages are found by the longest such word and then checked; only a line of one or two
+    words is compared with all pages of its sheet.
+    """
     first = F.get(F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != ""), F.lit(0))
     words = F.array_join(F.slice(F.split(X.collapse(F.col("first")), " "), F.lit(1), F.lit(3)), " ")
     needles = tasks.select("sheet_id", "number", first.alias("first")).filter("first is not null").select(
         "sheet_id", "number", F.posexplode(F.array(F.substring("first", 1, 60), words)).alias("k", "needle"))
-    hits = needles.join(pages.select("sheet_id", "page", "text"), "sheet_id").filter(F.contains("text", "needle"))
+    parts = F.split("needle", r"(?U)\s+")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = needles.withColumn("word", longest["w"])
+    tokens = pages.select("sheet_id", "page", F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
+    found = keyed.filter("word is not null").join(tokens, ["sheet_id", "word"]).select("sheet_id", "number", "k", "needle", "page")
+    short = keyed.filter("word is null").join(pages.select("sheet_id", "page"), "sheet_id").select("sheet_id", "number", "k", "needle", "page")
+    hits = found.unionByName(short).join(pages.select("sheet_id", "page", "text"), ["sheet_id", "page"]).filter(F.contains("text", "needle"))
     best = hits.groupBy("sheet_id", "number").agg(F.min(F.struct("k", "page")).alias("m"))
     return tasks.select("sheet_id", "number").join(best, ["sheet_id", "number"], "left").select("sheet_id", "number", F.col("m.page").alias("page"))
 
@@ -179,12 +191,12 @@ def resolve_state(state: DataFrame, sheets: DataFrame, tasks: DataFrame) -> Data
     missing sheet becomes the latest, a missing task the first, a missing part none.
     ``tasks``: (sheet_id, pos, number, labels ARRAY<STRING>).
     """
-    ids = sheets.select("course", "sheet_id")
-    one = ids.select("course", F.col("sheet_id").alias("__one"), F.col("sheet_id").alias("__hit1"))
-    two = ids.select("course", F.col("sheet_id").alias("__two"), F.col("sheet_id").alias("__hit2"))
+    named = F.col("sheet_id").cast("string")
+    one = sheets.select("course", named.alias("__one"), F.col("sheet_id").alias("__hit1"))
+    two = sheets.select("course", named.alias("__two"), F.col("sheet_id").alias("__hit2"))
     last = latest_sheet(sheets).select("course", F.col("sheet_id").alias("__last"))
     at = (
-        state.withColumn("__one", F.col("sheet")).withColumn("__two", F.concat_ws("/", "course", "sheet"))
+        state.withColumn("__one", F.col("sheet").cast("string")).withColumn("__two", F.concat_ws("/", "course", "__one"))
         .join(one, ["course", "__one"], "left").join(two, ["course", "__two"], "left").join(last, "course", "left")
         .withColumn("sheet_id", F.coalesce("__hit1", "__hit2", "__last"))
     )
