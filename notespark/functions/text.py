@@ -35,6 +35,7 @@ EFFORT_WORDS = ["routine", "short", "medium", "hard"]
 # Characters that NFKC leaves alone wherever they stand: ASCII, the precomposed Latin
 # letters without a compatibility form, and common punctuation.
 _NFKC_OPEN = r"[^\x00-\x7FÀ-ıĴ-ľŁ-ňŊ-ž–—‘’“”„«»¡¿§°→≤≥∈⊂]"
+_DAMAGED = r"[\x00-\x08\x0b-\x1f\x7fÿ\x{A8}\x{308}\x{E000}-\x{F8FF}]"
 _MARK = "﷐"  # a noncharacter, never part of a text
 
 
@@ -99,7 +100,9 @@ def nfkc(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    return nfkc(_move_diaeresis(strip_undisplayable(fix_eszett(fix_ligatures(c)))))
+    """All of the above. A text without any of the characters in question skips the repairs."""
+    repaired = _move_diaeresis(strip_undisplayable(fix_eszett(fix_ligatures(c))))
+    return nfkc(F.when(c.rlike(_DAMAGED), repaired).otherwise(c))
 
 
 def drop_page_number(text: Column, page: Column) -> Column:

@@ -39,7 +39,7 @@ _MAYBE_HEADER = (
     rf"^(?:{NUMBERED_TYPES}|\d+\.\d|Beweis|Proof|Sketch of proof|Literatur|Übungsaufgaben|Index"
     r"|References|Bibliography)"
 )
-HEADER_FIELDS = ["kind", "type", "number", "name", "ref", "match_len"]
+HEADER_CHARS, HEADER_LINES = 2000, 100
 
 
 def line_table(pages: DataFrame) -> DataFrame:
@@ -48,9 +48,11 @@ def line_table(pages: DataFrame) -> DataFrame:
 
 
 def header_lines(pages: DataFrame, pattern: str) -> DataFrame:
-    """Lines matching ``pattern`` with the rest of their page: (doc_id, page, line_no, rest).
+    """Lines matching ``pattern`` with what follows on their page: (doc_id, page, line_no, rest).
 
-    The rest of the page is built for matching lines only, so a header may wrap.
+    A header may wrap, so it is looked for in the next lines as well. It is a type word, a
+    number and a name of at most 80 characters; ``HEADER_CHARS`` hold it with ample space
+    between its parts. Bodies are cut from the whole page, not from here.
     """
     lines = F.split("text", "\n")
     hits = F.filter(
@@ -58,7 +60,7 @@ def header_lines(pages: DataFrame, pattern: str) -> DataFrame:
     )
     return pages.select("doc_id", "page", "text", F.explode(hits).alias("line_no")).select(
         "doc_id", "page", "line_no",
-        F.array_join(F.slice(lines, F.col("line_no") + 1, F.size(lines)), "\n").alias("rest"),
+        F.substring(F.array_join(F.slice(lines, F.col("line_no") + 1, F.lit(HEADER_LINES)), "\n"), 1, HEADER_CHARS).alias("rest"),
     )
 
 
@@ -73,11 +75,16 @@ def header_candidates(pages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     r = F.col("rest")
 
+    opening = r.rlike(r"^\d")
+
     def reading(ord_: int, kind: str, pattern: str, type_=none, number=none, name=none, ref=none):
         first_word = F.element_at(F.split(type_, " "), 1)
         word = F.when(ref.isNull(), first_word) if kind != "boundary" else none
+        # Headers that begin with a digit and headers that do not exclude each other.
+        digit = pattern in (NUMBER_FIRST, PROBLEM)
+        fits = r.rlike(pattern) if kind == "boundary" and not digit else (opening if digit else ~opening) & r.rlike(pattern)
         return F.when(
-            r.rlike(pattern),
+            fits,
             F.struct(
                 F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), type_.alias("type"),
                 number.alias("number"), name.alias("name"), ref.alias("ref"), word.alias("word"),

@@ -68,8 +68,14 @@ def strip_furniture(lines: Column, marks: Column, titles: Column) -> Column:
     def at_end(line: Column) -> Column:
         return F.array_contains(marks, line) | line.rlike(COUNTER) | F.array_contains(titles, X.plain_title(line))
 
-    last = F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(~at_end(x), i + 1))), F.lit(0))
-    head = F.slice(lines, F.lit(1), last)
+    # Counted from the end; once a line is content, the lines above are not looked at.
+    def upward(state: Column, line: Column) -> Column:
+        return F.when(state["stop"], state).when(at_end(line), F.struct(
+            (state["n"] + 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(state["n"].alias("n"), F.lit(True).alias("stop")))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop"))
+    dropped = F.aggregate(F.reverse(lines), start, upward, lambda s: s["n"])
+    head = F.slice(lines, F.lit(1), F.size(lines) - dropped)
     first = F.array_min(F.transform(head, lambda x, i: F.when(~F.array_contains(marks, x), i + 1)))
     return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(head, first, F.size(head)))
 

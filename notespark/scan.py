@@ -171,9 +171,5 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     upto = scan(counted, keys, [value], __upto=running_sum(F.col("__n")))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    if keys:
-        joined = upto.join(total, keys)
-    else:
-        joined = upto.crossJoin(F.broadcast(total))  # one row
-    hit = joined.filter(F.col("__upto") > F.expr("__total div 2"))
+    hit = upto.join(total, keys).filter(F.col("__upto") > F.expr("__total div 2"))
     return hit.groupBy(*keys).agg(F.min(value).alias(name))

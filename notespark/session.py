@@ -66,3 +66,10 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only when ``df`` is counted to hold at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it comes in fewer pieces than there are cores, for costly
+    expressions on few large files. Large inputs have enough splits and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -147,14 +147,13 @@ def q_asof_section(spark, sf_dir):
     return O.assign_sections(e.drop("event_type"), nodes).select(F.col("pos").alias("event_id"), "section")
 
 
-# Five scripts, one per market segment, with regions as chapters and nations as sections.
-# Three sections begin on each page. Customers are entries numbered in their nation; those
-# in debt stand one page later.
+# Five scripts, one per region, with nations as sections. Three sections begin on each page.
+# Customers are entries numbered in their nation; those in debt stand one page later.
 SHARED_SQL = """
 n AS (SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS seq,
         (n_regionkey + 1) || '.' || (n_nationkey + 1) AS key FROM nation),
 nodes AS (SELECT *, seq // 3 + 1 AS page FROM n),
-e AS (SELECT c_mktsegment AS doc, c_custkey AS pos, key AS prefix, key || '.' || c_custkey AS number,
+e AS (SELECT n_regionkey AS doc, c_custkey AS pos, key AS prefix, key || '.' || c_custkey AS number,
         page + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS page FROM customer JOIN nodes ON c_nationkey = n_nationkey)
 """
 
@@ -167,20 +166,19 @@ def _shared(spark, sf_dir):
         "page", (F.floor(F.col("seq") / 3) + 1).cast("int"))
     customers = table(spark, sf_dir, "customer").join(seq, F.col("c_nationkey") == F.col("n_nationkey"))
     entries = customers.select(
-        F.col("c_mktsegment").alias("doc_id"), F.col("c_custkey").alias("pos"),
+        F.col("n_regionkey").alias("doc_id"), F.col("c_custkey").alias("pos"),
         F.concat_ws(".", "key", F.col("c_custkey").cast("string")).alias("number"),
         (F.col("page") + F.when(F.col("c_acctbal") < 0, 1).otherwise(0)).alias("page"))
-    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("doc_id")).distinct()
-    nodes = segments.join(F.broadcast(seq), F.lit(True)).select(
-        "doc_id", "seq", "key", F.split("key", r"\.").cast("array<int>").alias("key_path"), F.lit(2).alias("level"),
-        F.lit("t").alias("title"), "page")
+    nodes = seq.select(
+        F.col("n_regionkey").alias("doc_id"), "seq", "key", F.split("key", r"\.").cast("array<int>").alias("key_path"),
+        F.lit(2).alias("level"), F.lit("t").alias("title"), "page")
     return entries, nodes
 
 
 @q(f"""
 WITH {SHARED_SQL},
-l AS (SELECT e.*, (SELECT arg_max(key, seq) FROM nodes WHERE nodes.page <= e.page) AS last,
-             (SELECT arg_max(key, seq) FROM nodes WHERE nodes.page < e.page) AS before,
+l AS (SELECT e.*, (SELECT arg_max(key, seq) FROM nodes WHERE n_regionkey = doc AND nodes.page <= e.page) AS last,
+             (SELECT arg_max(key, seq) FROM nodes WHERE n_regionkey = doc AND nodes.page < e.page) AS before,
              (SELECT page FROM nodes WHERE key = e.prefix) AS own FROM e),
 t AS (SELECT doc, count(*) FILTER (WHERE prefix = last) >= 0.8 * count(*) AS trusted FROM l WHERE last IS NOT NULL GROUP BY doc)
 SELECT l.doc AS doc_id, pos, CASE WHEN trusted AND (own = page OR before = prefix) AND prefix <> last THEN prefix ELSE last END AS section
@@ -195,8 +193,8 @@ def q_shared_page(spark, sf_dir):
 
 @q(f"""
 WITH {SHARED_SQL.replace('seq // 3 + 1', 'seq + (seq - 1) // 6 * -1')},
-l AS (SELECT e.*, (SELECT arg_max(key, seq) FROM nodes WHERE nodes.page <= e.page) AS last,
-             (SELECT arg_max(key, seq) FROM nodes WHERE nodes.page < e.page) AS before,
+l AS (SELECT e.*, (SELECT arg_max(key, seq) FROM nodes WHERE n_regionkey = doc AND nodes.page <= e.page) AS last,
+             (SELECT arg_max(key, seq) FROM nodes WHERE n_regionkey = doc AND nodes.page < e.page) AS before,
              (SELECT page FROM nodes WHERE key = e.prefix) AS own FROM e),
 t AS (SELECT doc, count(*) FILTER (WHERE prefix = last) >= 0.8 * count(*) AS trusted FROM l WHERE last IS NOT NULL GROUP BY doc)
 SELECT l.doc AS doc_id, pos, trusted, CASE WHEN trusted AND (own = page OR before = prefix) AND prefix <> last THEN prefix ELSE last END AS section
