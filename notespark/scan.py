@@ -131,7 +131,7 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
         else:
             carried.append(F.first(c, ignorenulls=True).over(after).alias(f"__c_{name}"))
     carry = spread.filter("__runs > 1").select(
-        F.col("__run").alias("__c_run"), *[F.col(k).alias(f"__k_{k}") for k in keys], *carried
+        F.col("__run").alias("__carry_run"), *[F.col(k).alias(f"__k_{k}") for k in keys], *carried
     )
 
     inner = Window.partitionBy("__run", *keys).orderBy(*order)
@@ -141,7 +141,7 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
     same = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
-        F.col("__run") == F.col("__c_run"),
+        F.col("__run") == F.col("__carry_run"),
     )
     # Bounded by 2 x runs rows, so the broadcast does not grow with the data.
     joined = local.join(F.broadcast(carry), same, "left")
