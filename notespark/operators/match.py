@@ -93,11 +93,10 @@ def classify_fragments(fragments: DataFrame, cands: DataFrame, min_score: float
     )
     hits = scored.select("scope", "frag_id", "cand_ord", "task", "part", score.alias("score")).filter(
         F.col("score") >= min_score)
-    # Best score, the first candidate on ties: highest score of the smallest order.
-    best = hits.groupBy("scope", "frag_id").agg(F.max("score").alias("score"))
-    return hits.join(best, ["scope", "frag_id", "score"]).groupBy("scope", "frag_id", "score").agg(
-        F.min_by(F.struct("task", "part"), "cand_ord").alias("m")).select(
-        "scope", "frag_id", "m.task", "m.part", "score")
+    # Best score, the first candidate on ties.
+    return hits.groupBy("scope", "frag_id").agg(
+        F.min_by(F.struct("task", "part", "score"), F.struct(-F.col("score"), F.col("cand_ord"))).alias("m")).select(
+        "scope", "frag_id", "m.task", "m.part", "m.score")
 
 
 def match_audit(fragments: DataFrame, matches: DataFrame) -> DataFrame:

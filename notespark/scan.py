@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .session import staged
 
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 500_000
 GROUP_ROWS_SETTING = "spark.notespark.groupRows"
 
 
