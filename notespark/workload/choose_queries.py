@@ -129,10 +129,12 @@ def q_chosen(spark, sf_dir):
 
 
 @q(f"""WITH {ENTRIES}, m AS (SELECT ch.*, course = 'PROMO' OR page BETWEEN 10 AND 11 AS proof_on FROM ch),
-e AS (SELECT course, count(*) AS earlier FROM sel WHERE kind = 'earlier' GROUP BY course)
-SELECT course, count(*) AS statements, count(*) FILTER (WHERE proof_on AND proof_size > 0 AND NOT referral) AS proofs,
-  count(*) FILTER (WHERE proof_size > 0 AND NOT referral) AS with_proof, coalesce(any_value(earlier), 0) AS earlier,
-  CAST(sum(size + CASE WHEN proof_on THEN proof_size ELSE 0 END) AS BIGINT) AS size FROM m LEFT JOIN e USING (course) GROUP BY course""")
+e AS (SELECT course, count(*) AS earlier FROM sel WHERE kind = 'earlier' GROUP BY course),
+s AS (SELECT course, count(*) AS statements, count(*) FILTER (WHERE proof_on AND proof_size > 0 AND NOT referral) AS proofs,
+  count(*) FILTER (WHERE proof_size > 0 AND NOT referral) AS with_proof,
+  CAST(sum(size + CASE WHEN proof_on THEN proof_size ELSE 0 END) AS BIGINT) AS size FROM m GROUP BY course)
+SELECT course, coalesce(statements, 0) AS statements, coalesce(proofs, 0) AS proofs, coalesce(with_proof, 0) AS with_proof,
+  coalesce(earlier, 0) AS earlier, coalesce(size, 0) AS size FROM s FULL JOIN e USING (course)""")
 def q_totals(spark, sf_dir):
     """What a selection amounts to."""
     e = entries(spark, sf_dir)
@@ -243,7 +245,7 @@ def q_toggle(spark, sf_dir):
 @q(f"""WITH {ENTRIES}, t AS (SELECT course, arg_min(id, pos) AS t FROM st WHERE page = 11 AND proof_size > 0 AND NOT referral GROUP BY course),
 s AS (SELECT course, t, course = 'PROMO' AS every, course = 'PROMO' OR EXISTS (SELECT 1 FROM sel WHERE sel.course = t.course AND kind = 'proof' AND item = t) AS is_on FROM t)
 SELECT DISTINCT course, kind, item FROM (
-  SELECT sel.* FROM sel JOIN s USING (course) WHERE NOT is_on OR NOT ((kind = 'proof' AND item = t) OR (kind = 'proofs' AND every))
+  SELECT sel.* FROM sel LEFT JOIN s USING (course) WHERE t IS NULL OR NOT is_on OR NOT ((kind = 'proof' AND item = t) OR (kind = 'proofs' AND every))
   UNION ALL SELECT course, 'proof', t FROM s WHERE NOT is_on UNION ALL SELECT course, 'statement', t FROM s WHERE NOT is_on
   UNION ALL SELECT sel.course, 'proof', item FROM sel JOIN s USING (course) JOIN st ON st.course = sel.course AND st.id = sel.item
     WHERE kind = 'statement' AND every AND item <> t AND proof_size > 0 AND NOT referral)""")

@@ -33,16 +33,18 @@ base AS (SELECT *, row_number() OVER (PARTITION BY course ORDER BY CAST(split_pa
    course = 'PROMO' AS every, course = 'PROMO' OR page BETWEEN 10 AND 11 AS proof_on FROM ch),
 secs AS (SELECT course, item FROM sel WHERE kind = 'section'),
 mk AS (SELECT base.*, EXISTS (SELECT 1 FROM secs WHERE secs.course = base.course AND (section = item OR starts_with(section, item || '.'))) AS inside FROM base),
-us AS (SELECT course, string_agg('section_' , '') AS x FROM secs GROUP BY course),
 nm AS (SELECT secs.course, string_agg(item || ' Brand ' || item, ', ' ORDER BY CAST(item AS INTEGER)) AS named FROM secs
    WHERE EXISTS (SELECT 1 FROM base WHERE base.course = secs.course AND (section = item OR starts_with(section, item || '.'))) GROUP BY secs.course),
 fa AS (SELECT course, coalesce(string_agg(id, ', ' ORDER BY place) FILTER (WHERE NOT inside), '') AS singles,
    coalesce(string_agg(id, ', ' ORDER BY place) FILTER (WHERE proof IS NOT NULL AND proof_on AND NOT every), '') AS proofs,
-   bool_or(type = 'Slide') AS any_slide, bool_or(type = 'Algorithmus') AS algorithms, bool_or(every) AS every,
+   bool_or(type = 'Slide') AS any_slide, bool_and(type = 'Slide') AS all_slides, bool_or(type = 'Algorithmus') AS algorithms, bool_or(every) AS every,
    bool_or(type = 'Definition') AS definitions, bool_or(type NOT IN ('Definition', 'Slide')) AS results FROM mk GROUP BY course),
-hd AS (SELECT course, '# From the lecture notes' || CASE WHEN any_slide THEN ' and slides' ELSE '' END || ': section ' || named || CASE WHEN singles <> '' THEN '; ' || singles ELSE '' END || chr(10) ||
-   '(every definition and theorem of these sections' || CASE WHEN singles <> '' THEN ', plus the single statements named' ELSE '' END || CASE WHEN algorithms THEN ', algorithms included' ELSE '' END ||
-   CASE WHEN proofs <> '' THEN ', proofs only for ' || proofs WHEN every THEN '' ELSE ', proofs omitted' END || ')' AS head, definitions, results FROM fa JOIN nm USING (course)),
+hd AS (SELECT course, '# From the lecture ' || CASE WHEN all_slides THEN 'slides' WHEN any_slide THEN 'notes and slides' ELSE 'notes' END || ': ' ||
+   concat_ws('; ', 'section ' || named, nullif(singles, '')) || chr(10) || '(' ||
+   CASE WHEN all_slides AND named IS NOT NULL THEN 'every slide of these sections' WHEN all_slides THEN 'the slides chosen for this task'
+        WHEN named IS NOT NULL THEN 'every definition and theorem of these sections' ELSE 'the definitions and theorems chosen for this task' END ||
+   CASE WHEN named IS NOT NULL AND singles <> '' THEN ', plus the single statements named' ELSE '' END || CASE WHEN algorithms THEN ', algorithms included' ELSE '' END ||
+   CASE WHEN proofs <> '' THEN ', proofs only for ' || proofs WHEN every OR all_slides THEN '' ELSE ', proofs omitted' END || ')' AS head, definitions, results FROM fa LEFT JOIN nm USING (course)),
 en AS (SELECT course, string_agg(chr(10) || id || CASE WHEN name IS NULL THEN '' ELSE ' (' || name || ')' END || ':' || chr(10) || text || CASE WHEN proof_on AND proof IS NOT NULL THEN chr(10) || 'Proof: ' || proof ELSE '' END, chr(10) ORDER BY place) AS body FROM mk GROUP BY course)
 """
 
@@ -52,8 +54,8 @@ SELECT course AS task_ref, '{HEAD_SQL}' || {RULES_SQL} || CASE WHEN definitions
   || CASE WHEN results THEN {_rule(A.RESULTS_RULE.replace('{what}', 'theorems and earlier exercises'))} ELSE {_rule(A.RESULTS_RULE.replace('{what}', 'earlier exercises'))} END || {TAIL_SQL}
   || chr(10) || chr(10) || '# Course: ' || course || chr(10) || 'Sheet 3, due: 1.1.' || chr(10) || chr(10) || '# Task 7: Title' || chr(10) || 'Do it.' || chr(10)
   || chr(10) || '{A.EARLIER_HEAD}' || chr(10) || '{A.EARLIER_NOTE}' || chr(10) || chr(10) || '## Sheet 1, task 1' || chr(10) || 'Earlier ' || course || chr(10)
-  || chr(10) || head || chr(10) || body || chr(10) AS text
-FROM hd JOIN en USING (course)""")
+  || CASE WHEN head IS NULL THEN '' ELSE chr(10) || head || chr(10) || body || chr(10) END AS text
+FROM (SELECT DISTINCT course FROM entries) LEFT JOIN hd USING (course) LEFT JOIN en USING (course)""")
 def q_build_documents(spark, sf_dir):
     """B1, B2: one document per course, with its selection of statements as context."""
     e = entries(spark, sf_dir)
