@@ -294,14 +294,14 @@ def statement_label(id_: Column, name: Column, text: Column, type_: Column, widt
 # --- Cost and effort -------------------------------------------------------------------
 
 def effort_ten(score: Column) -> Column:
-    """0..3 -> 1..10 with one decimal, rounded half to even."""
+    """0..3 -> 1..10 with one decimal, rounded half to even; NULL without a score."""
     clamped = F.least(F.lit(3.0), F.greatest(F.lit(0.0), score))
-    return F.bround(1 + 9 * clamped / 3, 1)
+    return F.when(score.isNotNull(), F.bround(1 + 9 * clamped / 3, 1))
 
 
 def effort_word(score: Column) -> Column:
     level = F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.bround(score, 0))).cast("int")
-    return F.element_at(F.array(*[F.lit(w) for w in EFFORT_WORDS]), level + 1)
+    return F.when(score.isNotNull(), F.element_at(F.array(*[F.lit(w) for w in EFFORT_WORDS]), level + 1))
 
 
 def entry_header(id_: Column, name: Column) -> Column:
