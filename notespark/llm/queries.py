@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, lines, packing, quality, simhash
+from . import bpe, embeddings, exact, licences, lines, packing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,6 +67,81 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+URLS_SQL = """
+with parsed as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (
+  select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from parsed),
+read as (
+  select page_id, host, path,
+    case when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+         when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+         when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+         when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+         when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule,
+    array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+      case when regexp_matches(s, '^[0-9a-f]{8,}$') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[a-f]') then '<x>'
+           else regexp_replace(s, '[0-9]+', '<n>', 'g') end), '/') as shape
+  from p),
+counts as (
+  select host, shape, count(*) as pages, count(rule) as labelled,
+         count(*) filter (where rule in ('example.org/en/1', 'example.org/es/', 'com/de/')) as blocked
+  from read group by host, shape),
+tokens as (
+  select host, shape, pages, unnest(string_split(shape, '/')) as token,
+         generate_subscripts(string_split(shape, '/'), 1) as depth from counts),
+seen as (select host, depth, token, sum(pages) as n from tokens group by all),
+rare as (
+  select host, depth, token, n < 2 or n < 0.05::double * sum(n) over (partition by host, depth) as rare from seen),
+templates as (
+  select host, shape, string_agg(case when rare and not regexp_matches(token, '<.>') then '*' else token end, '/' order by depth) as template
+  from tokens join rare using (host, depth, token) group by host, shape),
+led as (
+  select c.*, template, regexp_extract(template, '^((?:[^/]*[*<][^/]*(?:/|$))*)', 1) as lead
+  from counts c join templates using (host, shape)),
+parts as (
+  select *, string_split(substr(template, length(lead) + 1), '/')[1] as literal,
+         substr(template, length(lead) + 1 + length(string_split(substr(template, length(lead) + 1), '/')[1])) as rest from led),
+by_rest as (
+  select host, lead, literal, rest, sum(pages) as pages, sum(labelled) as n, sum(blocked) as k
+  from parts where literal <> '' group by all),
+branches as (
+  select host, lead, literal, sum(n) as n, sum(k) as k, max({'pages': pages, 'rest': rest}).rest as main
+  from by_rest group by all),
+judged as (
+  select *, n = 0 or k_all = 0 or pow(k * n_all::double - n * k_all::double, 2) <= 4::double * n * k_all * (n_all - k_all) as alike
+  from (select *, sum(n) over w as n_all, sum(k) over w as k_all from branches window w as (partition by host, lead, main))),
+merging as (
+  select host, lead, literal, alike and count(*) filter (where alike) over (partition by host, lead, main) > 1 as merge from judged),
+merged as (
+  select p.host, shape, labelled, blocked, case when merge then p.lead || '*' || rest else template end as merged
+  from parts p left join merging m on p.host = m.host and p.lead = m.lead and p.literal = m.literal),
+everywhere as (select (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labelled), 0) + 2)::double as g from counts),
+hosts as (
+  select host, (sum(blocked) + 5 * any_value(g)) / (sum(labelled) + 5)::double as host_rate from merged, everywhere group by host),
+rates as (
+  select host, merged, (sum(blocked) + 5 * any_value(host_rate)) / (sum(labelled) + 5)::double as block_rate
+  from merged join hosts using (host) group by host, merged)
+select page_id, host, path, rule,
+       case when coalesce(rule in ('org/', 'com/fr/'), block_rate < 0.7) then 'allow' else 'block' end as verdict,
+       merged as template, block_rate
+from read join merged using (host, shape) join rates using (host, merged)
+"""
+
+
+@query(URLS_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by rule or by its path template."""
+    return urls.judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and labels."""
+    return licences.scan_licences(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of at most 2048 tokens."""
@@ -97,3 +172,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count and digests of its ids and of what they decode to."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component; the smallest id of a component is kept."""
+    found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
