@@ -107,7 +107,8 @@ def _frequencies(texts: DataFrame) -> dict[bytes, int]:
         for batch in batches:
             for t in batch["t"]:
                 counts.update(vocabulary.intersection(words_of(t)))
-        yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
 
     rows = texts.select("t").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"].encode(): r["n"] for r in rows}
@@ -123,15 +124,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     without labels. Null and empty texts have no words. Rows are judged alone, whatever their
     ids; other columns are not read.
     """
-    read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("binary").alias("t"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t"))
     index = Index(_frequencies(read))
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([index.scan(t) for t in batch["t"]], columns=names)
-            out.insert(0, "id", batch["id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out.astype({"id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+    @F.pandas_udf("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([index.scan(t) for t in texts], columns=names, dtype=object)
 
-    return read.mapInPandas(run, "id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-                                 "base_labels string, labels string, score double")
+    return read.select("id", scanned("t").alias("r")).select("id", "r.*")

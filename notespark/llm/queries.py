@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, exact, licences, lines, packing, quality, simhash, urls
+from . import bpe, embeddings, exact, html, licences, lines, packing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,11 +98,12 @@ templates as (
   select host, shape, string_agg(case when rare and not regexp_matches(token, '<.>') then '*' else token end, '/' order by depth) as template
   from tokens join rare using (host, depth, token) group by host, shape),
 led as (
-  select c.*, template, regexp_extract(template, '^((?:[^/]*[*<][^/]*(?:/|$))*)', 1) as lead
+  select c.*, template, string_split(template, '/') as t,
+         coalesce(list_position(list_transform(string_split(template, '/'), lambda x: contains(x, '*') or contains(x, '<')), false),
+                  len(string_split(template, '/')) + 1) as first
   from counts c join templates using (host, shape)),
 parts as (
-  select *, string_split(substr(template, length(lead) + 1), '/')[1] as literal,
-         substr(template, length(lead) + 1 + length(string_split(substr(template, length(lead) + 1), '/')[1])) as rest from led),
+  select *, array_to_string(t[1:first - 1], '/') as lead, coalesce(t[first], '') as literal, array_to_string(t[first + 1:], '/') as rest from led),
 by_rest as (
   select host, lead, literal, rest, sum(pages) as pages, sum(labelled) as n, sum(blocked) as k
   from parts where literal <> '' group by all),
@@ -115,7 +116,7 @@ judged as (
 merging as (
   select host, lead, literal, alike and count(*) filter (where alike) over (partition by host, lead, main) > 1 as merge from judged),
 merged as (
-  select p.host, shape, labelled, blocked, case when merge then p.lead || '*' || rest else template end as merged
+  select p.host, shape, labelled, blocked, case when merge then concat_ws('/', nullif(p.lead, ''), '*', nullif(rest, '')) else template end as merged
   from parts p left join merging m on p.host = m.host and p.lead = m.lead and p.literal = m.literal),
 everywhere as (select (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labelled), 0) + 2)::double as g from counts),
 hosts as (
@@ -180,3 +181,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+@query()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -87,9 +87,11 @@ def _merged(templates: DataFrame) -> DataFrame:
     most frequent rest is the same and their block rates do not differ beyond chance from the
     rate of them all. Branches without labels have nothing to differ by.
     """
-    parts = templates.withColumn("lead", F.regexp_extract("template", r"^((?:[^/]*[*<][^/]*(?:/|$))*)", 1)).withColumn(
-        "after", F.expr("substring(template, length(lead) + 1)")).withColumn("literal", F.split("after", "/")[0]).withColumn(
-        "rest", F.expr("substring(after, length(literal) + 1)"))
+    parts = templates.withColumn("parts", F.split("template", "/")).withColumn("at", F.expr(
+        "coalesce(nullif(array_position(transform(parts, t -> contains(t, '*') or contains(t, '<')), false), 0), size(parts) + 1)"))
+    parts = parts.withColumns({
+        "lead": F.expr("array_join(slice(parts, 1, cast(at as int) - 1), '/')"), "literal": F.expr("coalesce(get(parts, cast(at as int) - 1), '')"),
+        "rest": F.expr("array_join(slice(parts, cast(at as int) + 1, size(parts)), '/')")})
     parts = parts.select("host", "shape", "labelled", "blocked", "template", "lead", "literal", "rest", "pages")
     by_rest = parts.filter("literal != ''").groupBy("host", "lead", "literal", "rest").agg(
         F.sum("pages").alias("pages"), F.sum("labelled").alias("n"), F.sum("blocked").alias("k"))
@@ -104,7 +106,7 @@ def _merged(templates: DataFrame) -> DataFrame:
         "host", "lead", "literal", F.expr("alike and alikes > 1").alias("merge"))
     return parts.join(merging, ["host", "lead", "literal"], "left").select(
         "host", "shape", "labelled", "blocked",
-        F.expr("case when merge then concat(lead, '*', rest) else template end").alias("merged"))
+        F.expr("case when merge then concat_ws('/', nullif(lead, ''), '*', nullif(rest, '')) else template end").alias("merged"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
