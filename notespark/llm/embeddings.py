@@ -75,7 +75,7 @@ def _compare(kind: str, cosine: float):
     """
     names = ["a", "b", "links"]
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+    def block(rows: pd.DataFrame) -> pd.DataFrame | None:
         x = _unit(np.stack([np.frombuffer(v, dtype=kind) for v in rows["v"]]))
         keys, part = np.stack(rows["keys"].to_list()), rows["part"].to_numpy()
         rep, n, table = rows["rep"].to_numpy(), rows["n"].to_numpy(), int(rows["tab"].iat[0])
@@ -103,7 +103,7 @@ def _compare(kind: str, cosine: float):
             reached[root] = False
             out.append((rep[reached], rep[root], 0))
         frames = [pd.DataFrame({"a": a, "b": pd.array([b] * len(a), dtype="Int64"), "links": c}) for a, b, c in out if len(a)]
-        return pd.concat(frames) if frames else pd.DataFrame({c: pd.array([], dtype="Int64") for c in names})
+        return pd.concat(frames) if frames else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -113,12 +113,12 @@ def _compare(kind: str, cosine: float):
             ids = rows[by].to_numpy()
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist()]
-            found = [block(rows.iloc[s:e]) for s, e in zip(bounds, bounds[1:]) if e - s > 1]
+            found = [f for s, e in zip(bounds, bounds[1:]) if e - s > 1 and (f := block(rows.iloc[s:e])) is not None]
             kept = rows.iloc[bounds[-1]:] if len(rows) else None
             if found:
                 yield pd.concat(found)[names]
-        if kept is not None and len(kept) > 1:
-            yield block(kept)[names]
+        if kept is not None and len(kept) > 1 and (last := block(kept)) is not None:
+            yield last[names]
 
     return run
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -125,12 +124,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: fl
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, features array<double>) per row; a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "features": [statistics(t or "") for t in batch["t"]]})
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t or "") for t in texts])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("t")).mapInPandas(
-        run, "id bigint, features array<double>")
+    return docs.select(F.col(id_col).alias("id"), measured(F.col(text)).alias("features"))
 
 
 def is_held_out(key: Column) -> Column:
