@@ -48,21 +48,23 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], value: list[st
                 type_: T.DataType, start: object, step: Callable) -> DataFrame:
     """Add ``name``: ``step(state, *values) -> (state, output)`` over the rows of each key in
     order, from ``start``. One pass over sorted partitions, with the state of the current key
-    carried from batch to batch, so neither many small keys nor a long one cost memory."""
+    carried from batch to batch, so neither many small keys nor a long one cost memory. Keys are
+    compared as text, in which a null equals a null."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, type_)])
+    named = F.to_json(F.struct(*[F.col(k).cast("string") for k in keys]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, start
         for batch in batches:
             out = []
-            for key, *values in zip(zip(*[batch[k] for k in keys]), *[batch[v] for v in value]):
+            for key, *values in zip(batch["__key"], *[batch[v] for v in value]):
                 if key != current:
                     current, state = key, start
                 state, result = step(state, *values)
                 out.append(result)
-            yield batch.assign(**{name: out})
+            yield batch.drop(columns="__key").assign(**{name: out})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.withColumn("__key", named).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def pack_batches(items: DataFrame, keys: list[str], room: int, size: str = "size",

@@ -76,10 +76,12 @@ def extract_exercises(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = staged(clean.join(wanted, ["doc_id", "page"]), "exercise-lines")
 
     sizes = key_sizes(lines, sheet)
-    numbered = scan(lines, sheet, ["page", "line_no"], sizes, pos=row_number(),
-                    __next=next_value(F.col("line")),
-                    __below=next_value(F.when(F.col("line") != "", F.col("line"))))
-    two = F.concat_ws("\n", "line", "__next")
+    placed = scan(lines, sheet, ["page", "line_no"], sizes, pos=row_number())
+    numbered = scan(placed, sheet, ["pos"], sizes, __filled=next_value(F.when(F.col("line") != "", F.struct("pos", "line"))))
+    numbered = numbered.withColumn("__below", F.col("__filled.line"))
+    # A start is a word and a number: it ends in the next line that is not blank, if not before.
+    two = F.when(F.col("__filled").isNull(), F.col("line")).otherwise(F.concat(
+        "line", F.repeat(F.lit("\n"), (F.col("__filled.pos") - F.col("pos")).cast("int")), "__filled.line"))
 
     def reading(kind: str, pattern: str) -> Column:
         return F.when(two.rlike(pattern), F.struct(

@@ -4,86 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from ..scan import bounded
-from ..session import staged
+from ..session import discard, staged
 
 DEPENDS_THRESHOLD = 0.5
 
 
-def _on_cycle_candidates(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _core(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(edges that may lie on a cycle, edges that cannot): an edge out of a node without
-    incoming edges, or into one without outgoing edges, closes nothing. One round."""
+    incoming edges, or into one without outgoing edges, closes nothing."""
+    at = [*keys, "a", "b"]
     sources = edges.select(*keys, F.col("b").alias("a")).distinct()
     sinks = edges.select(*keys, F.col("a").alias("b")).distinct()
-    core = edges.join(sources, [*keys, "a"], "left_semi").join(sinks, [*keys, "b"], "left_semi")
-    core = staged(core.select(*edges.columns), "core")
-    return core, edges.join(core, [*keys, "a", "b"], "left_anti")
+    core = edges.join(sources, [*keys, "a"], "left_semi").join(sinks, [*keys, "b"], "left_semi").select(*edges.columns)
+    return core, edges.join(core.select(*at).distinct(), at, "left_anti").select(*edges.columns)
+
+
+def _acyclic(pairs: Iterator[tuple]) -> list[bool]:
+    """For every pair whether it is kept: not if kept ones lead from its end to its beginning."""
+    out: dict = {}
+    taken = []
+    for a, b in pairs:
+        todo, seen = [b], {b}
+        while todo and a not in seen:
+            new = [x for x in out.get(todo.pop(), ()) if x not in seen]
+            seen.update(new)
+            todo += new
+        taken.append(a not in seen)
+        if taken[-1]:
+            out.setdefault(a, []).append(b)
+    return taken
 
 
 def acyclic_edges(edges: DataFrame, keys: list[str], threshold: float = DEPENDS_THRESHOLD) -> DataFrame:
     """Edges ``a -> b`` with p at or above ``threshold``, most certain first (then by ``ord``),
-    without those that close a cycle with more certain ones.
+    without those that close a cycle with more certain ones. A null key is a key like others.
 
-    Edges that cannot lie on a cycle are kept without looking at their order, in rounds of
-    joins; the grouped function sees the cyclic core of one key only.
+    Edges at the rim, which cannot lie on a cycle, are kept by joins. The rest of one key is
+    decided in order by one task, whose memory is linear in that key's edges: the limit is a
+    sheet whose cyclic core fits a task.
     """
-    core = edges.filter(F.col("p") >= threshold)
-    free = None
-    if not bounded(core, keys):
-        core = staged(core, "edges")
-        while True:
-            size = core.count()
-            core, out = _on_cycle_candidates(core, keys)
-            out = staged(out, "free")
-            free = out if free is None else free.unionByName(out)
-            if bounded(core, keys) or core.count() == size:
-                break
-
-    schema = T.StructType(core.schema.fields)
-
-    def keep(group: pd.DataFrame) -> np.ndarray:
-        codes, _ = pd.factorize(pd.concat([group["a"], group["b"]]))
-        a, b = codes[: len(group)], codes[len(group):]
-        reach = np.eye(codes.max() + 1, dtype=bool)  # reach[x, y]: kept edges lead from x to y
-        taken = np.zeros(len(group), dtype=bool)
-        for i, (x, y) in enumerate(zip(a, b)):
-            if not reach[y, x]:
-                taken[i] = True
-                reach[reach[:, x]] |= reach[y]
-        return taken
+    named = F.to_json(F.struct(*[F.col(k).cast("string") for k in keys]))
+    core, free = _core(staged(edges.filter(F.col("p") >= threshold).withColumn("__key", named), "edges"), ["__key"])
+    schema = edges.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the key at the end of a batch may go on in the next one
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            number = rows[keys].ne(rows[keys].shift()).any(axis=1).cumsum().to_numpy()
+            number = rows["__key"].ne(rows["__key"].shift()).cumsum().to_numpy()
             rest = rows[number == number[-1]] if len(rows) else rows
             for _, group in rows[number != number[-1]].groupby(number[number != number[-1]]):
-                yield group[keep(group)]
+                yield group[_acyclic(zip(group["a"], group["b"]))].drop(columns="__key")
         if rest is not None and len(rest):
-            yield rest[keep(rest)]
+            yield rest[_acyclic(zip(rest["a"], rest["b"]))].drop(columns="__key")
 
-    ordered = core.withColumn("__np", -F.col("p"))
-    kept = ordered.repartition(*keys).sortWithinPartitions(*keys, "__np", "ord").select(*core.columns).mapInPandas(run, schema)
-    return kept if free is None else kept.unionByName(free.select(*kept.columns))
+    ordered = core.withColumn("__np", -F.col("p")).repartition("__key").sortWithinPartitions("__key", "__np", "ord")
+    kept = ordered.select(*edges.columns, "__key").mapInPandas(run, schema)
+    return kept.unionByName(free.select(*kept.columns))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, source, node): every node reachable from each source, the source included.
-    One join per hop; only nodes seen for the first time go on."""
+def reaches(edges: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, target, reached) for the pairs ``asked(keys, source, target)``: do edges
+    ``a -> b`` lead from one to the other? A node reaches itself.
+
+    One join per hop; only nodes seen for the first time go on, and a source stops once all its
+    targets are found. Tables that a hop replaces are deleted.
+    """
+    pair = [*keys, "source", "target"]
     links = staged(edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("__to")).distinct(), "links")
-    seen = staged(sources.select(*keys, F.col("a").alias("source"), F.col("a").alias("node")).distinct(), "seen")
-    front = seen
+    pairs = staged(asked.select(*pair).distinct(), "asked")
+    seen = staged(pairs.select(*keys, "source", F.col("source").alias("node")).distinct(), "seen")
+    front, found = seen, staged(pairs.filter("source = target"), "found")
     while True:
-        ahead = front.join(links, [*keys, "node"]).select(*keys, "source", F.col("__to").alias("node")).distinct()
-        front = staged(ahead.join(seen, [*keys, "source", "node"], "left_anti"), "front")
-        if not front.limit(1).count():
-            return seen
-        seen = staged(seen.unionByName(front), "seen")
+        open_ = pairs.join(found, pair, "left_anti").select(*keys, "source").distinct()
+        ahead = front.join(open_, [*keys, "source"], "left_semi").join(links, [*keys, "node"]).select(
+            *keys, "source", F.col("__to").alias("node")).distinct()
+        new = staged(ahead.join(seen, [*keys, "source", "node"], "left_anti"), "front")
+        if not new.limit(1).count():
+            break
+        hits = pairs.join(new.withColumnRenamed("node", "target"), pair, "left_semi")
+        more, all_seen = staged(found.unionByName(hits.select(*pair)), "found"), staged(seen.unionByName(new), "seen")
+        for old in {id(t): t for t in (front, found, seen)}.values():
+            discard(old)
+        front, found, seen = new, more, all_seen
+    return pairs.join(found.withColumn("reached", F.lit(True)), pair, "left").select(*pair, F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 def after(edges: DataFrame, keys: list[str]) -> DataFrame:

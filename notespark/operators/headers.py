@@ -39,7 +39,9 @@ _MAYBE_HEADER = (
     rf"^(?:{NUMBERED_TYPES}|\d+\.\d|Beweis|Proof|Sketch of proof|Literatur|Übungsaufgaben|Index"
     r"|References|Bibliography)"
 )
-HEADER_CHARS, HEADER_LINES = 2000, 100
+#: A header is a type word, a number and a name of at most 80 characters, with any space between
+#: them: apart from blank lines it cannot reach over more lines than this.
+HEADER_LINES = 85
 
 
 def line_table(pages: DataFrame) -> DataFrame:
@@ -50,20 +52,40 @@ def line_table(pages: DataFrame) -> DataFrame:
 def header_lines(pages: DataFrame, pattern: str) -> DataFrame:
     """Lines matching ``pattern`` with what follows on their page: (doc_id, page, line_no, rest).
 
-    A header may wrap, so it is looked for in the next lines as well. It is a type word, a
-    number and a name of at most 80 characters; ``HEADER_CHARS`` hold it with ample space
-    between its parts. Bodies are cut from the whole page, not from here.
+    A header may wrap, so it is looked for in the next lines as well: whole lines, blank ones
+    not counted, as many as a header can reach over.
     """
     lines = F.split("text", "\n")
+    filled = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
+    at = F.col("line_no").cast("int")
+    stop = F.coalesce(F.get("filled", (F.array_position("filled", at) + HEADER_LINES).cast("int")), F.size(lines))
     hits = F.filter(
         F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i)), lambda i: i.isNotNull()
     )
-    return pages.select("doc_id", "page", "text", F.explode(hits).alias("line_no")).select(
+    return pages.select("doc_id", "page", "text", filled.alias("filled"), F.explode(hits).alias("line_no")).select(
         "doc_id", "page", "line_no",
-        F.substring(F.array_join(F.slice(lines, F.col("line_no") + 1, F.lit(HEADER_LINES)), "\n"), 1, HEADER_CHARS).alias("rest"),
+        F.array_join(F.slice(lines, F.col("line_no") + 1, stop - F.col("line_no")), "\n").alias("rest"),
     )
 
 
+def without_nested(cands: DataFrame) -> DataFrame:
+    """Candidates that do not begin inside an earlier match of their own form, as in a scan from
+    left to right. ``inner`` (dropped) is how many further lines a match begins or runs through.
+
+    Only lines that some earlier match reaches are in doubt; they are decided in order within
+    their stretch of such lines.
+    """
+    w = Window.partitionBy("doc_id", "page", "ord").orderBy("line_no")
+    reach = F.max(F.col("line_no") + F.col("inner")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    doubted = cands.withColumn("__doubt", F.coalesce(reach >= F.col("line_no"), F.lit(False)))
+    grouped = doubted.withColumn("__stretch", F.sum((~F.col("__doubt")).cast("int")).over(w))
+    before = F.collect_list(F.struct("line_no", "inner")).over(
+        Window.partitionBy("doc_id", "page", "ord", "__stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    end = F.aggregate("__before", F.lit(-1), lambda upto, m: F.when(m["line_no"] > upto, m["line_no"] + m["inner"]).otherwise(upto))
+    judged = grouped.withColumn("__before", before)
+    return judged.filter(~F.col("__doubt") | (F.col("line_no") > end)).select(*[c for c in cands.columns if c != "inner"])
+
+
 def header_candidates(pages: DataFrame) -> DataFrame:
     """Every line start that has the form of a header or of a boundary.
 
@@ -78,6 +100,7 @@ def header_candidates(pages: DataFrame) -> DataFrame:
     opening = r.rlike(r"^\d")
 
     def reading(ord_: int, kind: str, pattern: str, type_=none, number=none, name=none, ref=none):
+        match = F.regexp_extract(r, pattern, 0)
         first_word = F.element_at(F.split(type_, " "), 1)
         word = F.when(ref.isNull(), first_word) if kind != "boundary" else none
         # Headers that begin with a digit and headers that do not exclude each other.
@@ -88,7 +111,8 @@ def header_candidates(pages: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), type_.alias("type"),
                 number.alias("number"), name.alias("name"), ref.alias("ref"), word.alias("word"),
-                F.length(F.regexp_extract(r, pattern, 0)).alias("match_len"),
+                F.length(match).alias("match_len"),
+                (F.size(F.split(match, "\n")) - 1 - match.endswith("\n").cast("int")).alias("inner"),
             ),
         )
 
@@ -104,9 +128,9 @@ def header_candidates(pages: DataFrame) -> DataFrame:
         reading(4, "boundary", PROBLEM),
     )
     found = F.filter(readings, lambda x: x.isNotNull())
-    return lines.select("doc_id", "page", "line_no", F.explode(found).alias("h")).select(
+    return without_nested(lines.select("doc_id", "page", "line_no", F.explode(found).alias("h")).select(
         "doc_id", "page", "line_no", "h.*"
-    )
+    ))
 
 
 def verify_headers(cands: DataFrame, styled: DataFrame, keys: list[str], word: str,

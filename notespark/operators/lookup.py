@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicates as P, text as X
 from ..scan import row_number, scan
+from .choose import script_order
 
 FOUND = "array<struct<number:string,title:string,text:string,page:int>>"
 
@@ -142,7 +143,7 @@ def source_of(targets: DataFrame, nodes: DataFrame, entries: DataFrame, notes: D
     ``section:<key>`` or an entry id; the first entry of an id counts; without a file of its
     own the course's notes."""
     prefix = "section:"
-    key = F.when(F.col("target").startswith(prefix), F.substring(F.col("target"), len(prefix) + 1, 10_000))
+    key = F.when(F.col("target").startswith(prefix), F.substring(F.col("target"), F.lit(len(prefix) + 1), F.length("target")))
     n = nodes.groupBy("course", F.col("key").alias("__key")).agg(
         F.min_by(F.struct("pdf", "page", "title"), "seq").alias("__n"))
     e = first_by(entries.select("course", F.col("id").alias("__id"), "pdf", "page", "pos"), ["course", "__id"], F.col("pos"))
@@ -329,8 +330,9 @@ def judgement_items(entries: DataFrame, keys: list[str]) -> DataFrame:
     the first in script order; the name leads."""
     name = F.coalesce("name", F.lit(""))
     text = F.concat(F.when(name != "", F.concat(F.lit("("), name, F.lit(") "))).otherwise(""), F.coalesce("text", F.lit("")))
-    rows = entries.select(*keys, "id", "pos", text.alias("statement"), P.has_proof(F.col("proof")).alias("has_proof"))
-    return first_by(rows, [*keys, "id"], F.col("pos"))
+    rows = entries.select(*keys, "id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(script_order())]).alias("__place"),
+                          text.alias("statement"), P.has_proof(F.col("proof")).alias("has_proof"))
+    return first_by(rows, [*keys, "id"], F.col("__place")).drop("__place")
 
 
 def merged_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

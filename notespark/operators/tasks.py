@@ -34,7 +34,7 @@ def task_candidates(text: Column) -> Column:
                     if pattern is None:
                         continue
                     size = F.length(F.regexp_extract(rest, pattern, 0))
-                    after = F.regexp_replace(F.substring(rest, size + 1, F.lit(20)), r"(?U)\A\s+", "")
+                    after = F.regexp_replace(F.substring(rest, size + 1, F.length(rest)), r"(?U)\A\s+", "")
                     found.append(F.when(rest.rlike(pattern), F.struct(
                         i.alias("line_no"), F.lit(style).alias("style"), F.lit(lone).alias("lone"),
                         F.regexp_extract(rest, pattern, 1).try_cast("bigint").alias("num"),

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K, predicates as P, text as X
 from ..operators.choose import covered_sections
 from ..operators.outline import with_ancestors
-from ..scan import row_number, scan
 
 # --- Fixed values: the wording of the documents ------------------------------------------
 HEAD = ("Solve {what} so that I can follow it: a complete, rigorous solution that also shows "
@@ -45,19 +44,29 @@ TAIL = [
 EARLIER_HEAD = "# Earlier exercises this task may build on"
 EARLIER_NOTE = ("(their statements only - their results may be used as given; my solutions to "
                 "them are not included)")
+OWN_SLIDES = "the lecture slides"
+OWN_BOTH = "the lecture notes and slides"
+OWN_NOTES = "the lecture notes"
+OTHER_SCRIPT = "another script, "
+ALL_SLIDES = "every slide of these sections"
+SOME_SLIDES = "the slides chosen for this task"
+ALL_STATEMENTS = "every definition and theorem of these sections"
+SOME_STATEMENTS = "the definitions and theorems chosen for this task"
+PLUS_SINGLES = ", plus the single statements named"
+WITH_ALGORITHMS = ", algorithms included"
+SOME_PROOFS = ", proofs only for "
+NO_PROOFS = ", proofs omitted"
+ASKED_HEAD = "# Asked now: part "
+ATTEMPT_HEAD = "# My attempt so far\n"
 # ---------------------------------------------------------------------------------------
-PART_ROWS = 1000
 REF = ["task_ref"]
 
 
-def assemble(blocks: DataFrame, keys: list[str], order: list[str], text: str = "text", sep: str = "\n",
-             part_rows: int = PART_ROWS) -> DataFrame:
-    """(keys, part, text): texts of a key joined in order. After ``part_rows`` rows a document
-    goes on in a next part, so no key has to fit one value; an ordinary one is part 0."""
-    placed = scan(blocks.select(*keys, *order, text), keys, order, __n=row_number()).withColumn(
-        "part", F.floor((F.col("__n") - 1) / part_rows))
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("__n", text))), lambda x: x[text])
-    return placed.groupBy(*keys, "part").agg(F.array_join(joined, sep).alias("text"))
+def assemble(blocks: DataFrame, keys: list[str], order: list[str], text: str = "text", sep: str = "\n") -> DataFrame:
+    """(keys, text): texts of a key joined in order. A document is one value, so its blocks
+    meet in one row by nature."""
+    joined = F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text])
+    return blocks.groupBy(*keys).agg(F.array_join(joined, sep).alias("text"))
 
 
 def _fill(template: str, slot: str, value: Column) -> Column:
@@ -94,7 +103,9 @@ def source_blocks(context: DataFrame, sections: DataFrame) -> DataFrame:
         lambda x: x["t"]), ", ").alias("named"))
     inside = covered_sections(ctx, sections, REF).withColumn("inside", F.lit(True))
     marked = ctx.join(inside, [*REF, "section"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    shown = F.when(F.col("source") != "", F.replace(F.col("id"), F.concat("source", F.lit(": ")), F.lit(""))).otherwise(F.col("id"))
+    prefix = F.concat("source", F.lit(": "))
+    shown = F.when(F.col("source") != "", F.when(
+        F.startswith("id", prefix), F.substring(F.col("id"), F.length(prefix) + 1, F.length("id"))).otherwise(F.col("id"))).otherwise(F.col("id"))
 
     def listed(cond: Column, value: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(
@@ -108,22 +119,22 @@ def source_blocks(context: DataFrame, sections: DataFrame) -> DataFrame:
         F.bool_or(P.is_algorithm(F.col("type"))).alias("algorithms"), F.bool_or("all_proofs").alias("all_proofs"),
     ).join(named, by, "left").withColumn("named", F.coalesce("named", F.lit("")))
     has_sections, has_singles = F.col("named") != "", F.col("singles") != ""
-    own = F.when(F.col("all_slides"), "the lecture slides").when(
-        F.col("any_slide"), "the lecture notes and slides").otherwise("the lecture notes")
-    source = F.when(F.col("source") == "", own).otherwise(F.concat(F.lit("another script, "), F.col("source")))
+    own = F.when(F.col("all_slides"), OWN_SLIDES).when(
+        F.col("any_slide"), OWN_BOTH).otherwise(OWN_NOTES)
+    source = F.when(F.col("source") == "", own).otherwise(F.concat(F.lit(OTHER_SCRIPT), F.col("source")))
     where = F.concat_ws("; ", F.when(has_sections, F.concat(F.lit("section "), F.col("named"))), F.when(has_singles, F.col("singles")))
-    what = F.when(F.col("all_slides"), F.when(has_sections, "every slide of these sections").otherwise("the slides chosen for this task")).otherwise(
-        F.when(has_sections, "every definition and theorem of these sections").otherwise("the definitions and theorems chosen for this task"))
+    what = F.when(F.col("all_slides"), F.when(has_sections, ALL_SLIDES).otherwise(SOME_SLIDES)).otherwise(
+        F.when(has_sections, ALL_STATEMENTS).otherwise(SOME_STATEMENTS))
     note = F.concat(
-        what, F.when(has_sections & has_singles, ", plus the single statements named").otherwise(""),
-        F.when(F.col("algorithms"), ", algorithms included").otherwise(""),
-        F.when(F.col("proofs") != "", F.concat(F.lit(", proofs only for "), F.col("proofs")))
-        .when(~F.col("all_proofs") & ~F.col("all_slides"), ", proofs omitted").otherwise(""))
+        what, F.when(has_sections & has_singles, PLUS_SINGLES).otherwise(""),
+        F.when(F.col("algorithms"), WITH_ALGORITHMS).otherwise(""),
+        F.when(F.col("proofs") != "", F.concat(F.lit(SOME_PROOFS), F.col("proofs")))
+        .when(~F.col("all_proofs") & ~F.col("all_slides"), NO_PROOFS).otherwise(""))
     return facts.select(*by, F.concat(F.lit("# From "), source, F.lit(": "), where, F.lit("\n("), note, F.lit(")")).alias("head"))
 
 
 def build_documents(tasks: DataFrame, context: DataFrame, sections: DataFrame, earlier: DataFrame) -> DataFrame:
-    """(task_ref, part, text). A switched-off task leaves out instruction and task, a
+    """(task_ref, text). A switched-off task leaves out instruction and task, a
     switched-off context leaves out statements and earlier tasks.
 
     ``tasks``: (task_ref, course_name, sheet_number, discussion_date, number, title, text, found,
@@ -174,11 +185,9 @@ def build_documents(tasks: DataFrame, context: DataFrame, sections: DataFrame, e
         rows(sourced, 2, source_ord.cast("string"), F.col("place"),
              F.concat(entry, F.when(F.col("place") == F.col("last"), "\n").otherwise(""))),
         rows(full.filter("include_task and asked_part is not null"), 3, empty, zero,
-             F.concat(F.lit("# Asked now: part "), F.col("asked_part.label"), F.lit(")\n"), F.col("asked_part.text"), F.lit("\n"))),
-        rows(full.filter("attempt <> ''"), 4, empty, zero, F.concat(F.lit("# My attempt so far\n"), F.col("attempt"), F.lit("\n"))),
+             F.concat(F.lit(ASKED_HEAD), F.col("asked_part.label"), F.lit(")\n"), F.col("asked_part.text"), F.lit("\n"))),
+        rows(full.filter("attempt <> ''"), 4, empty, zero, F.concat(F.lit(ATTEMPT_HEAD), F.col("attempt"), F.lit("\n"))),
     ]
     blocks = reduce(DataFrame.unionByName, parts).withColumn("source", F.coalesce(F.col("source").try_cast("bigint"), F.lit(0)))
     docs = assemble(blocks, REF, ["block", "source", "place"])
-    final = F.row_number().over(Window.partitionBy(*REF).orderBy(F.desc("part"))) == 1
-    return docs.withColumn("__last", final).select(
-        *REF, "part", F.when(F.col("__last"), F.concat(X.rstrip(F.col("text")), F.lit("\n"))).otherwise(F.col("text")).alias("text"))
+    return docs.select(*REF, F.concat(X.rstrip(F.col("text")), F.lit("\n")).alias("text"))

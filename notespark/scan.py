@@ -4,8 +4,8 @@ A plain window puts all rows of a key into one task. ``scan`` first counts the l
 If it is small enough, it uses the plain window (one shuffle). Otherwise rows are
 range-partitioned by (keys, order) into even runs that may cut a key anywhere; every run is
 scanned on its own, and what a run has to know about the runs before and after it is a table
-of at most two rows per run, which is joined back. Both ways give the same result as long as
-``order`` has no ties within a key.
+of at most two rows per run, which is joined back. Ties in ``order`` are broken by the other
+columns, so that both ways give the same result: rows equal in all columns are interchangeable.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, MapType, VariantType
 
 from .session import staged
 
@@ -83,13 +84,21 @@ def _over(s: Scan, w) -> Column:
     return F.coalesce(F.sum(s.value).over(frame), F.lit(0))
 
 
+def _orderable(t: DataType) -> bool:
+    if isinstance(t, (MapType, VariantType)):
+        return False
+    inner = [f.dataType for f in getattr(t, "fields", [])] + ([t.elementType] if hasattr(t, "elementType") else [])
+    return all(map(_orderable, inner))
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], sizes: tuple[int, int] | None = None,
          **outputs: Scan) -> DataFrame:
-    """Add one column per output. ``order`` names columns sorted ascending, unique per key.
+    """Add one column per output. ``order`` names columns sorted ascending.
 
     ``sizes`` is a result of ``key_sizes``, or an upper bound of it (of the source rows, or of
     coarser keys), for callers that scan the same rows repeatedly.
     """
+    order = [*order, *[f.name for f in df.schema.fields if f.name not in (*keys, *order) and _orderable(f.dataType)]]
     limit = group_rows(df)
     top, total = sizes or key_sizes(df, keys)
     if top <= limit:

@@ -1,4 +1,4 @@
-"""Session settings, the shared staging folder, and size-checked broadcasts."""
+"""Session settings and the shared staging folder."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-BROADCAST_ROWS = 50_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "notespark", master: str | None = None,
@@ -73,14 +71,3 @@ def discard(table: DataFrame) -> None:
         place = context._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only when ``df`` is counted to hold at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when it comes in fewer pieces than there are cores, for costly
-    expressions on few large files. Large inputs have enough splits and are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

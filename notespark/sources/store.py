@@ -15,9 +15,8 @@ FORMATS = {"knowledge": 6, "sheet": 7, "slides": 2, "plan": 2}
 def write_store(df: DataFrame, root: str, name: str) -> None:
     """One Parquet table per name, partitioned by course: reading a course prunes the rest.
     Only the courses in ``df`` are replaced."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     # Few files per course, but a course that holds a third of the rows is split at run time.
-    df.hint("rebalance", "course").write.mode("overwrite").partitionBy("course").parquet(os.path.join(root, name))
+    df.hint("rebalance", "course").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("course").parquet(os.path.join(root, name))
 
 
 def read_store(spark: SparkSession, root: str, name: str, course: str | None = None) -> DataFrame:

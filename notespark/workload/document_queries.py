@@ -12,9 +12,9 @@ from .choose_queries import ENTRIES, entries, selection
 q = REGISTRY.query
 
 
-@q("""SELECT conv_id, turn // 1000 AS part, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL""")
+@q("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL""")
 def q_document_assembly(spark, sf_dir):
-    """B1: one text per conversation, in parts of a thousand turns."""
+    """B1: one text per conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("text"))
     return A.assemble(turns, ["conv_id"], ["turn"])
 
@@ -74,5 +74,4 @@ def q_build_documents(spark, sf_dir):
         F.array().cast("array<struct<label:string,text:string>>").alias("parts"), F.lit(None).cast("string").alias("asked"),
         F.lit("").alias("attempt"), F.lit(True).alias("include_task"), F.lit(True).alias("include_context"))
     earlier = tasks.select("task_ref", F.lit(1).alias("place"), F.lit("Sheet 1, task 1").alias("label"), F.concat(F.lit("Earlier "), "task_ref").alias("text"))
-    docs = A.build_documents(tasks, context, sections, earlier)
-    return docs.groupBy("task_ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return A.build_documents(tasks, context, sections, earlier)

@@ -349,16 +349,20 @@ def q_furniture(spark, sf_dir):
 
 @q(r"""
 WITH s AS (SELECT source, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents),
-o AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN ['Outline', 'First part', '2. Second  part'] ELSE x END AS y FROM s)
-SELECT source AS doc_id, doc_id AS page, array_to_string(y, chr(10)) AS text FROM o WHERE doc_id % 7 <> 3 AND len(y) > 0
+n AS (SELECT source AS doc_id, doc_id * 2 AS page, array_to_string(x, chr(10)) AS text FROM s WHERE len(x) > 0)
+SELECT * FROM n
 """)
 def q_clean_slides(spark, sf_dir):
     """Documents of a source as slides under a header and over two footers, with
-    an outline slide now and then; the slides come back clean."""
+    an outline slide after some; the slides come back clean, the outlines go."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     outline = docs.select(F.col("source").alias("doc_id")).distinct().withColumn(
         "title", F.explode(F.array(F.lit("1. First part"), F.lit("2. Second part"))))
-    body = F.when(F.col("doc_id") % 7 == 3, "Outline\nFirst part\n2. Second  part").otherwise(F.col("text"))
+    slide = F.struct((F.col("doc_id") * 2).alias("page"), F.col("text"))
+    outline_slide = F.struct((F.col("doc_id") * 2 + 1).alias("page"), F.lit("Outline\nFirst part\n2. Second  part").alias("text"))
+    docs = docs.select("source", "doc_id", F.explode(F.when(F.col("doc_id") % 7 == 3, F.array(slide, outline_slide)).otherwise(F.array(slide))).alias("s"))
+    docs = docs.select("source", F.col("s.page").alias("doc_id"), F.col("s.text").alias("text"))
+    body = F.col("text")
     framed = F.concat_ws("\n", F.concat(F.lit("Deck "), "source"), body, F.lit("First  part"), F.col("source"),
                          F.concat(F.col("doc_id").cast("string"), F.lit(" / 9999")))
     pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), framed.alias("text"))

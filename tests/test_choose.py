@@ -121,7 +121,16 @@ def test_acyclic_and_reach(spark):
     assert rows(kept, "a", "b") == [(1, 2), (2, 3)]
     assert rows(G.after(kept, ["s"]), "task", "after") == [(2, [1]), (3, [2])]
     assert rows(G.dependency_text(kept, ["s"]), "text") == [("1 → 2, 2 → 3",)]
-    assert rows(G.reachable(kept, spark.createDataFrame([("s", 1)], "s string, a int"), ["s"]), "node") == [(1,), (2,), (3,)]
+    asked = spark.createDataFrame([("s", 1, 3), ("s", 3, 1), ("s", 2, 2), ("t", 1, 3), ("s", 1, 9), ("s", 1, 3)], "s string, source int, target int")
+    assert rows(G.reaches(kept, asked, ["s"]), "s", "source", "target", "reached") == [
+        ("s", 1, 3, True), ("s", 1, 9, False), ("s", 2, 2, True), ("s", 3, 1, False), ("t", 1, 3, False)]
+
+
+def test_long_cycle_and_null_key(spark):
+    ring = [(None, i, (i + 1) % 300, 1 - i / 1000, i) for i in range(300)] + [(None, 500, 0, .9, 400), (7, 1, 2, .9, 0)]
+    e = spark.createDataFrame(ring, "s int, a int, b int, p double, ord int")
+    kept = G.acyclic_edges(e, ["s"]).collect()
+    assert {(r["s"], r["a"]) for r in kept} == {(s, a) for s, a, *_ in ring} - {(None, 299)}
 
 
 @pytest.mark.parametrize("limit", ["2000000", "5"])

@@ -1,3 +1,4 @@
+import fnmatch
 import random
 
 from pyspark.sql import functions as F
@@ -24,8 +25,26 @@ def test_filing_plan(spark):
         ("01-Blatt-1.pdf", "new", "Opt/blaetter/01-Blatt.pdf", []),
         ("01-Blatt.pdf", "superseded", "Opt/blaetter/01-Blatt.pdf", []),
         ("VO4_Optimierung.pdf", "replace", "Opt/skript/VO4_Optimierung.pdf", ["lib/VO3_Optimierung.pdf"])]
-    many = rules.union(spark.createDataFrame([("x", 1, "folien", 1, f"none{i}", i) for i in range(G.LITERAL_RULES + 1)], RULES))
+    many = rules.union(spark.createDataFrame([("x", 1, "folien", 1, f"none{i}", i) for i in range(900)], RULES))
     assert rows(G.match_rules(files, many), "name", "pattern") == rows(G.match_rules(files, rules), "name", "pattern")
+    twice = rules.union(spark.createDataFrame([("Opt", 7, "folien", 1, "cat.*", 0), ("Opt", 8, "folien", 1, "c[a]t*", 0), ("Any", 9, "folien", 1, "*", 0)], RULES))
+    assert rows(G.match_rules(files, twice).filter("name = 'cat.png'"), "course", "course_ord") == [("Any", 9), ("Opt", 7), ("Opt", 8)]
+    assert rows(G.filing_summary(plan, files), "status", "n", "moving") == [
+        ("ignored", 1, False), ("new", 1, True), ("replace", 1, True), ("superseded", 1, False)]
+
+
+def test_globs_like_the_standard_library(spark):
+    patterns = ["a[?].pdf", "a[*]", "[]]b", "[!]]b", "a[]]b", "a[b", "[z-a]x", "[!z-a]x", "[a-c-]?", "[^a]b", "[&&a]", "[\\\\]a", "*.*", "**", "?", "",
+                "[[]a", "a-[!0-9]*", "x{1}", "(a|b)+$^.", "[ä-ü]*"]
+    names = ["a?.pdf", "ax.pdf", "a..pdf", "a*", "ab", "]b", "xb", "a]b", "a[b", "zx", "x", "ax", "b-", "--", "^b", "&", "a", "\\a", "[a", "a-b1", "a-1",
+             "x{1}", "(a|b)+$^.", "öl", "", "A]B"]
+    cases = [(p, n, fnmatch.fnmatchcase(n.lower(), p.lower())) for p in patterns for n in names]
+    df = spark.createDataFrame(cases, "p string, n string, want boolean")
+    assert df.filter(F.regexp_like(F.lower("n"), G.glob_to_regex(F.col("p"))) != F.col("want")).collect() == []
+    files = spark.createDataFrame([(n,) for n in names], "name string")
+    rules = spark.createDataFrame([(p, i, "folien", 1, p, 0) for i, p in enumerate(patterns)], RULES)
+    got = {(r["pattern"], r["name"]) for r in G.match_rules(files, rules).collect()}
+    assert got >= {(p, n) for p, n, want in cases if want}
 
 
 def test_globs(spark):

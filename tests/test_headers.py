@@ -101,3 +101,25 @@ def test_scan_ways_agree(spark):
     for k in "ab":
         vs = sorted(v for kk, _, v in data if kk == k and v is not None)
         assert med[k] == vs[len(vs) // 2]
+
+
+def test_headers_of_any_extent(spark):
+    texts = {"far": "Satz" + " " * 2100 + "1.1. text", "down": "Satz" + "\n" * 400 + "1.2 (" + "x\n" * 40 + ") go",
+             "long": "word " * 3000 + "\nLemma 2.1. A"}
+    pages = spark.createDataFrame([(d, 1, t) for d, t in texts.items()], PAGES)
+    got = {(r["doc_id"], r["number"]): r for r in H.header_candidates(pages).collect()}
+    assert set(got) == {("far", "1.1"), ("down", "1.2"), ("long", "2.1")}
+    assert got["down", "1.2"]["match_len"] == len(texts["down"]) - len("go")
+
+
+def test_headers_inside_a_header(spark):
+    """A second match of the same form cannot begin inside the first one, but after it again."""
+    text = "Satz 1.1 (see\nSatz 1.2 (b\nSatz 1.3 and more)\nSatz 1.4. Text\nBeweis (of\nBeweis.)\nBeweis."
+    pages = spark.createDataFrame([("d", 1, text)], PAGES)
+    got = sorted((r["line_no"], r["kind"]) for r in H.header_candidates(pages).collect())
+    import re
+    want = []
+    for kind, pattern in (("numbered", H.NUMBERED), ("proof", H.PROOF)):
+        plain = pattern.replace("(?U)", "(?m)").replace(r"\A", "^")
+        want += [(text.count("\n", 0, m.start()), kind) for m in re.finditer(plain, text)]
+    assert got == sorted(want)

@@ -43,3 +43,28 @@ def test_task_listing(spark):
     assert one.text == "Lösen Sie Aufgabe (1.1) vom Skriptum\n\n(1.1) Zeige:\na) eins\nb) zwei"
     assert one.preamble == "Zeige:" and [(p.label, p.text) for p in one.parts] == [("a", "eins"), ("b", "zwei")]
     assert (two.title, two.page, two.effort, two.effort_word, two.after, two.missing) == ("Konvexe Mengen", None, None, "", None, ["9.9"])
+
+
+def test_a_document_is_one_text(spark):
+    from notespark.plans.assemble import assemble
+
+    rows = spark.createDataFrame([("k", i, f"line {i}") for i in range(2500)], "k string, pos int, text string")
+    got = assemble(rows, ["k"], ["pos"]).collect()
+    assert [r["text"] for r in got] == ["\n".join(f"line {i}" for i in range(2500))]
+
+
+def test_judgements_come_in_script_order(spark):
+    from notespark.operators.lookup import judgement_items
+
+    rows = [("c", "x", "9", 1, 0, "late", "", None), ("c", "x", "1", 1, 1, "early", "", None)]
+    df = spark.createDataFrame(rows, "course string, id string, section string, page int, pos int, text string, name string, proof string")
+    assert [r["statement"] for r in judgement_items(df, ["course"]).collect()] == ["early"]
+
+
+def test_exercise_starts_over_blank_lines(spark):
+    from notespark.operators.exercises import extract_exercises
+
+    pages = spark.createDataFrame([("d", 1, "Exercises\nAufgabe\n\n\n1. First\ntext\nAufgabe 2 Second")], "doc_id string, page int, text string")
+    nodes = spark.createDataFrame([("d", 0, "1", "Exercises", 1, 1)], "doc_id string, seq int, key string, title string, level int, page int")
+    got = sorted((r["number"], r["text"]) for r in extract_exercises(pages, nodes).collect())
+    assert got == [("1", "First\ntext"), ("2", "Second")]

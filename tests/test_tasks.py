@@ -19,6 +19,7 @@ def test_find_tasks(spark):
         ("restart", "(1) Banded\n(2) Sparse\n(1) Exercise 11.1\n(2) Exercise 11.2\n(3) Exercise 11.3"),
         ("words", "Aufgabe 1: Konvexe Mengen.\nSei C.\na) x\nb) y\nAufgabe 2\nLösen Sie Aufgabe (1.1) vom Skriptum"),
         ("none", "nothing here"),
+        ("far", "1. A\n2. B\n3." + "\n" * 25 + "(a) Prove"),
     ], "sheet_id string, text string")
     got = {}
     for sid, num, text in rows(T.find_tasks(sheets), "sheet_id", "number", "text"):
@@ -26,6 +27,7 @@ def test_find_tasks(spark):
     assert [n for n, _ in got["gap"]] == [1, 2, 3, 4]
     assert [n for n, _ in got["last"]] == [1, 2, 3]
     assert [n for n, _ in got["equation"]] == [1, 2]
+    assert [n for n, _ in got["far"]] == [1, 2, 3]
     assert got["restart"] == [(1, "Exercise 11.1"), (2, "Exercise 11.2"), (3, "Exercise 11.3")]
     tasks = rows(T.extract_tasks(sheets.filter("sheet_id = 'words'")), "number", "title", "script_references",
                  F.transform("subparts", lambda s: s["label"]))
@@ -74,3 +76,24 @@ def test_folds_against_loops(spark, limit):
         assert rows(C.monotone(df, ["k"], exempt="free"), "k", "pos") == want
     finally:
         spark.conf.unset(S.GROUP_ROWS_SETTING)
+
+
+def test_folds_of_a_null_key(spark):
+    items = spark.createDataFrame([(None, i, 5) for i in range(3)] + [(1, 0, 5), (1, 1, 5)], "k int, pos int, size int")
+    assert sorted((r["k"] is None, r["pos"], r["batch"]) for r in C.pack_batches(items, ["k"], 10).collect()) == [
+        (False, 0, 0), (False, 1, 0), (True, 0, 0), (True, 1, 0), (True, 2, 1)]
+    cands = spark.createDataFrame([(None, i, v) for i, v in enumerate([1, 9, 2, 2, 3])], "k int, pos int, last int")
+    assert sorted(r["pos"] for r in C.monotone(cands, ["k"]).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("limit", ["2000000", "4"])
+def test_ties_are_broken_alike(spark, limit):
+    spark.conf.set(S.GROUP_ROWS_SETTING, limit)
+    try:
+        df = spark.createDataFrame([("a", 1, f"n{i % 7}", i) for i in range(20)], "k string, pos int, name string, i int")
+        got = S.scan(df, ["k"], ["pos"], n=S.row_number(), before=S.previous(F.col("i"))).collect()
+    finally:
+        spark.conf.unset(S.GROUP_ROWS_SETTING)
+    want = sorted(range(20), key=lambda i: (i % 7, i))
+    assert sorted((r["n"], r["i"]) for r in got) == [(n + 1, i) for n, i in enumerate(want)]
+    assert {r["i"]: r["before"] and r["before"][0] for r in got} == dict(zip(want, [None, *want]))
