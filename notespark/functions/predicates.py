@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import SUBPART, collapse, join_title, non_empty, rstrip, strip
 
@@ -113,6 +113,16 @@ def matches(id_: Column, name: Column, text: Column, needle: Column) -> Column:
     return F.contains(F.lower(hay), F.lower(F.trim(needle)))
 
 
+def search(entries: DataFrame, needle: Column, chosen: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """(entry columns, part) of the ``entries`` (id, name, text) that match. With ``chosen`` (id) only
+    those count; ``earlier`` are tasks of earlier sheets, searched as well."""
+    own = entries if chosen is None else entries.join(chosen.distinct(), "id", "left_semi")
+    found = own.withColumn("part", F.lit("all" if chosen is None else "chosen"))
+    if earlier is not None:
+        found = found.unionByName(earlier.withColumn("part", F.lit("earlier")))
+    return found.filter(matches(F.col("id").cast("string"), F.col("name"), F.col("text"), needle))
+
+
 def heading(text: Column, before_colon: Column) -> Column:
     """``text`` as a title if it reads like one, else NULL."""
     def judged(title: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def stream_ingest(spark: SparkSession, schema: T.StructType, source: str, target: str, checkpoint: str,
                   fmt: str = "parquet", max_files: int = 1000) -> StreamingQuery:
-    """Take in all files not seen yet and stop. Rows carry ``mtime`` and ``format``.
+    """Take in all files not seen yet and stop. Rows carry ``mtime`` and ``format``, and ``gone``
+    where sources may vanish: true for a key whose source is no longer there.
 
     The target is the state: every batch writes its own layer ``batch=<id>``. A batch that is
     repeated after a failure writes the same layer again, so nothing is doubled.
@@ -24,8 +25,11 @@ def stream_ingest(spark: SparkSession, schema: T.StructType, source: str, target
 
 
 def read_latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """The newest row per key over all layers: by format, then mtime, then batch."""
+    """The valid row per key over all layers, as a batch ingest would have left it: a row replaces
+    an earlier one if it is newer or of a newer format; a key whose last word is ``gone`` is out."""
     df = spark.read.option("basePath", target).parquet(target)
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("format", "mtime", "batch")).alias("r")).select(
-        *keys, *[F.col(f"r.{c}").alias(c) for c in rest if c != "batch"])
+    df = df if "gone" in rest else df.withColumn("gone", F.lit(False))
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("format", "mtime", "batch")).alias("r")).filter("not coalesce(r.gone, false)").select(
+        *keys, *[F.col(f"r.{c}").alias(c) for c in rest if c not in ("batch", "gone")])

@@ -38,7 +38,8 @@ REGISTRY = Registry()
 
 def load() -> Registry:
     from . import (  # noqa: F401
-        choose_queries, document_queries, filing_queries, lookup_queries, notebook_queries, outline_queries, text_queries,
+        choose_queries, document_queries, filing_queries, lookup_queries, notebook_queries, outline_queries, sheet_queries,
+        text_queries,
     )
 
     return REGISTRY
