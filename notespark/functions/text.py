@@ -18,7 +18,7 @@ HEADER_CHARS = 400
 SHEET_NUMBER = r"(?iuU)(?:Blatt|Problem Set|Sheet)\s+(\d+)|(\d+)\.\s*Übungsblatt"
 DECK_WORDS_LONG = (
     "lectures?|vorlesung|kapitel|chapter|chap|week|woche|unit|einheit|teil|part"
-    "|foliensatz|folien|slides?|deck|session"
+    "|folien|foliensatz|slides?|deck|session"
 )
 DECK_WORDS_SHORT = "lec|vl|vo|kap|ch"
 DISCUSSION_DATE = r"(?U)Besprechung(?:stermin)?(?:\s+am)?:?\s*([^\n)]+)"

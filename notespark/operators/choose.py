@@ -10,9 +10,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import keys as K, predicates as P, text as X
 from ..scan import row_number, running_sum, scan
+from .chains import fold_sorted
 from .outline import with_ancestors
 
 COURSE = ["course"]
@@ -194,18 +196,13 @@ def refill(trimmed: DataFrame, keys: list[str], limit: int, sizes: Sizes = None)
     ranked = scan(possible, [*keys, "cost"], ["__np", "ord"], sizes, __k=row_number())
     few = ranked.filter("cost = 0 or __k <= __room div cost")
 
-    def step(state: Column, x: Column) -> Column:
-        ok = x["cost"] <= state["room"]
-        return F.when(ok, F.struct((state["room"] - x["cost"]).alias("room"),
-                                   F.concat(state["ords"], F.array(x["ord"])).alias("ords"))).otherwise(state)
-
-    ord_type = trimmed.schema["ord"].dataType.simpleString()
-    start = F.struct(F.col("room"), F.array().cast(f"array<{ord_type}>").alias("ords"))
-    back = few.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__np"), F.col("ord"), F.col("cost").cast("bigint").alias("cost")))).alias("xs"),
-        F.first("__room").alias("room"),
-    ).select(*keys, F.explode(F.aggregate("xs", start, step, lambda s: s["ords"])).alias("ord"))
-    return trimmed.join(back.withColumn("__back", F.lit(True)), [*keys, "ord"], "left").withColumn(
+    def step(left: int | None, cost: int, room: int) -> tuple:
+        left = room if left is None else left
+        return (left - cost, True) if cost <= left else (left, False)
+
+    back = fold_sorted(few.select(*keys, "ord", "__np", F.col("cost").cast("bigint").alias("cost"), "__room"), keys,
+                       ["__np", "ord"], ["cost", "__room"], "__back", BooleanType(), None, step).filter("__back")
+    return trimmed.join(back.select(*keys, "ord", "__back"), [*keys, "ord"], "left").withColumn(
         "kept", F.col("kept") | F.coalesce("__back", F.lit(False))).select(*trimmed.columns)
 
 

@@ -244,7 +244,7 @@ def cut_blocks(pages: DataFrame, headers: DataFrame) -> DataFrame:
     pieces = F.concat(F.array(lead), F.coalesce(F.transform("hs", piece), F.array().cast(
         "array<struct<block:bigint,kind:string,piece:string>>")))
     cut = (
-        pages.select(*page, "text").join(into, page).join(by_page, page, "left")
+        pages.select(*page, "text").join(into.join(by_page, page, "left"), page)
         .select(*page, F.explode(pieces).alias("p"))
         .filter("p.block is not null and p.kind <> 'boundary'")
     )

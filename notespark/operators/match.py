@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..scan import following, key_sizes, previous, running_sum, scan
+from ..session import staged
 
 # --- Fixed values ----------------------------------------------------------------------
 MIN_SCORE = 0.35
@@ -61,8 +62,10 @@ def classify_fragments(fragments: DataFrame, cands: DataFrame, min_score: float
         X.non_empty(F.regexp_extract(opening, EXERCISE_NUMBER, 1)).alias("f_number"),
         F.regexp_extract(head, SHEET_TASK, 1).try_cast("bigint").alias("f_task"),
     ).filter(F.size("fg") >= MIN_GRAMS)
+    f = staged(f, "fragments")
     c = cands.select("scope", "cand_ord", F.col("task").cast("bigint").alias("task"), "part", "number",
                      X.trigrams(F.col("text")).alias("cg")).filter(F.size("cg") > 0)
+    c = staged(c, "candidates")
 
     postings = c.select("scope", "cand_ord", F.explode("cg").alias("gram"))
     spread = postings.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("df"))
@@ -167,7 +170,7 @@ def lines_to_stretches(lines: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def compose_stretches(lines: DataFrame, slices: DataFrame) -> DataFrame:
-    """(nb, task, text): the lines in the main colour, under the label of their stretch where
+    """(nb, task, text, lines): the lines in the main colour and their number, under the label of their stretch where
     a task has several."""
     kept = lines.filter(F.coalesce("kind", F.lit("text")) == "text")
     labels = slices.select("nb", "task", "stretch", "part").distinct()
@@ -180,17 +183,18 @@ def compose_stretches(lines: DataFrame, slices: DataFrame) -> DataFrame:
         F.concat(F.lit("Task "), F.col("task").cast("string"), F.lit(":")))
     body = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
     texts = blocks.join(several, ["nb", "task"]).select(
-        "nb", "task", "stretch", F.when(F.col("labelled"), F.concat_ws("\n", title, body)).otherwise(body).alias("t"))
+        "nb", "task", "stretch", F.when(F.col("labelled"), F.concat_ws("\n", title, body)).otherwise(body).alias("t"), F.size("ls").alias("n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("stretch", "t"))), lambda x: x["t"])
-    return texts.groupBy("nb", "task").agg(X.strip(F.array_join(ordered, "\n\n")).alias("text"))
+    return texts.groupBy("nb", "task").agg(X.strip(F.array_join(ordered, "\n\n")).alias("text"), F.sum("n").alias("lines"))
 
 
 def attempt_status(tasks: DataFrame, notebooks: DataFrame, slices: DataFrame, texts: DataFrame) -> DataFrame:
-    """(nb, task, status, pages): ok, no-notebook or nothing. ``tasks`` has (nb, task), nb NULL
+    """(nb, task, status, pages, text, lines): ok, no-notebook or nothing. ``tasks`` has (nb, task), nb NULL
     without a notebook."""
     pages = slices.groupBy("nb", "task").agg(F.array_sort(F.collect_set(F.col("page") + 1)).alias("pages"))
     known = notebooks.select("nb").distinct().withColumn("__nb", F.lit(True))
     status = F.when(F.col("__nb").isNull(), "no-notebook").when(
         F.coalesce("text", F.lit("")) == "", "nothing").otherwise("ok")
     return tasks.join(known, "nb", "left").join(pages, ["nb", "task"], "left").join(texts, ["nb", "task"], "left").select(
-        "nb", "task", status.alias("status"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), "text")
+        "nb", "task", status.alias("status"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), "text",
+        F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import keys as K
 from ..functions.text import clean_title
-from ..scan import key_sizes, last_value, next_value, row_number, running_min, running_sum, scan, upper_median
+from ..scan import key_sizes, last_value, row_number, running_min, running_sum, scan, upper_median
+from .chains import fold_sorted
 
 TRUSTED_SHARE = 0.8
 MAX_ROWS, MAX_CHUNK = 10, 15_000
@@ -146,31 +148,20 @@ def section_extent(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
     """Add ``end_page``: the page before the next node in reading order that starts on a
     later page, else the last page of the document.
 
-    Almost always that node is the next one on another page. Only a node that is followed by
-    an earlier page first (an outline out of page order) is looked up with a join.
+    One pass from the last node to the first keeps the pages that may still be an answer: a
+    stack of rising pages, whatever the order of the outline.
     """
     doc = "doc_id"
-    sizes = key_sizes(nodes, [doc])
-    runs = scan(nodes, [doc], ["seq"], sizes, __before=last_value(F.col("page"), inclusive=False))
-    # A change of page opens a run; the answer is the first run after mine with a later page.
-    run_starts = runs.filter("__before is null or __before <> page").select(
-        doc, F.col("seq").alias("__run_seq"), F.col("page").alias("__run_page"))
-    tagged = scan(
-        nodes.join(run_starts.select(doc, F.col("__run_seq").alias("seq"), F.lit(True).alias("__opens")),
-                   [doc, "seq"], "left"),
-        [doc], ["seq"], sizes,
-        __next_open=next_value(F.when(F.col("__opens"), F.struct(F.col("page"), F.col("seq")))))
-    direct = F.col("__next_open.page") > F.col("page")
-    easy = tagged.filter(direct | F.col("__next_open").isNull()).withColumn(
-        "__stop", F.col("__next_open.page"))
-    hard = tagged.filter(F.col("__next_open").isNotNull() & ~direct)
-    later = (
-        hard.select(doc, "seq", "page").join(run_starts, doc)
-        .filter("__run_seq > seq and __run_page > page")
-        .groupBy(doc, "seq").agg(F.min_by("__run_page", "__run_seq").alias("__stop"))
-    )
-    both = easy.select(*nodes.columns, "__stop").unionByName(
-        hard.select(*nodes.columns).join(later, [doc, "seq"], "left").select(*nodes.columns, "__stop"))
+
+    def step(ahead: tuple, page: int) -> tuple:
+        while ahead and ahead[0] <= page:
+            ahead = ahead[1]
+        return (page, ahead), ahead[0] if ahead else -1
+
+    places = nodes.select(doc, "seq", "page", (-F.col("seq")).alias("__back"))
+    stops = fold_sorted(places, [doc], ["__back"], ["page"], "__stop", LongType(), (), step).select(
+        F.col(doc).alias("__doc"), F.col("seq").alias("__seq"), F.expr("nullif(__stop, -1)").cast(nodes.schema["page"].dataType).alias("__stop"))
+    both = nodes.join(stops, F.col(doc).eqNullSafe(F.col("__doc")) & (F.col("seq") == F.col("__seq")))
     return both.join(page_counts, doc, "left").select(
         *nodes.columns, F.coalesce(F.col("__stop") - 1, F.col("n_pages")).alias("end_page"))
 

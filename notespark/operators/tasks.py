@@ -16,35 +16,43 @@ NUMBER_STYLES = [
 ]
 MAX_TASK_GAP = 2
 # ---------------------------------------------------------------------------------------
+#: A number, its colon and the part label after it stand on so many further lines at most, blank ones not counted.
+HEAD_LINES = 4
 _MAYBE_TASK = r"^(?:Aufgabe|Exercise|Problem|\(?\d)"
 _HEAD = "struct<line_no:int,style:int,lone:boolean,num:bigint,match_len:int,part_next:boolean>"
 
 
 def task_candidates(text: Column) -> Column:
     """Per text the array of line starts that may number a task."""
+    def of_sheet(sheet: Column) -> Column:
+        lines, filled = sheet["lines"], sheet["filled"]
+        where = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(_MAYBE_TASK), i)), lambda i: i.isNotNull())
+
+        def readings(i: Column) -> Column:
+            def of(rest: Column) -> Column:
+                found = []
+                for style, (plain, alone) in enumerate(NUMBER_STYLES):
+                    for lone, pattern in ((False, plain), (True, alone)):
+                        if pattern is None:
+                            continue
+                        size = F.length(F.regexp_extract(rest, pattern, 0))
+                        after = F.regexp_replace(F.substring(rest, size + 1, F.length(rest)), r"(?U)\A\s+", "")
+                        found.append(F.when(rest.rlike(pattern), F.struct(
+                            i.alias("line_no"), F.lit(style).alias("style"), F.lit(lone).alias("lone"),
+                            F.regexp_extract(rest, pattern, 1).try_cast("bigint").alias("num"),
+                            size.alias("match_len"), after.rlike(P.NEXT_PART).alias("part_next"))))
+                return F.filter(F.array(*found), lambda x: x.isNotNull() & x["num"].isNotNull())
+
+            stop = F.coalesce(F.get(filled, (F.array_position(filled, i) + HEAD_LINES).cast("int")), F.size(lines))
+            rest = F.array_join(F.slice(lines, i + 1, stop - i), "\n")
+            return F.element_at(F.transform(F.array(rest), of), 1)
+
+        return F.flatten(F.transform(where, readings))
+
     lines = F.split(text, "\n")
-    where = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(_MAYBE_TASK), i)),
-                     lambda i: i.isNotNull())
-
-    def readings(i: Column) -> Column:
-        def of(rest: Column) -> Column:
-            found = []
-            for style, (plain, alone) in enumerate(NUMBER_STYLES):
-                for lone, pattern in ((False, plain), (True, alone)):
-                    if pattern is None:
-                        continue
-                    size = F.length(F.regexp_extract(rest, pattern, 0))
-                    after = F.regexp_replace(F.substring(rest, size + 1, F.length(rest)), r"(?U)\A\s+", "")
-                    found.append(F.when(rest.rlike(pattern), F.struct(
-                        i.alias("line_no"), F.lit(style).alias("style"), F.lit(lone).alias("lone"),
-                        F.regexp_extract(rest, pattern, 1).try_cast("bigint").alias("num"),
-                        size.alias("match_len"), after.rlike(P.NEXT_PART).alias("part_next"))))
-            return F.filter(F.array(*found), lambda x: x.isNotNull() & x["num"].isNotNull())
-
-        rest = F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n")
-        return F.element_at(F.transform(F.array(rest), of), 1)
-
-    return F.flatten(F.transform(where, readings)).cast(f"array<{_HEAD}>")
+    filled = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
+    sheets = F.array(F.struct(lines.alias("lines"), filled.alias("filled")))  # split once, not per candidate
+    return F.element_at(F.transform(sheets, of_sheet), 1).cast(f"array<{_HEAD}>")
 
 
 def _step(earlier: Column, later: Column) -> Column:

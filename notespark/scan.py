@@ -71,11 +71,13 @@ def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row["top"] or 0), int(row["total"] or 0)
 
 
-def _over(s: Scan, w) -> Column:
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+def _over(s: Scan, keys: list[str], order: list[str]) -> Column:
+    first = Window.unboundedPreceding
     if s.kind == "next":
-        frame = w.rowsBetween(0 if s.inclusive else 1, last)
-        return F.first(s.value, ignorenulls=True).over(frame)
+        # Backwards: a frame that ends at the last row is filled anew for every row.
+        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+        return F.last(s.value, ignorenulls=True).over(back.rowsBetween(first, 0 if s.inclusive else -1))
+    w = Window.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(first, 0 if s.inclusive else -1)
     if s.kind == "last":
         return F.last(s.value, ignorenulls=True).over(frame)
@@ -102,8 +104,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sizes: tuple[int, int
     limit = group_rows(df)
     top, total = sizes or key_sizes(df, keys)
     if top <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_over(s, w).alias(name) for name, s in outputs.items()])
+        return df.select("*", *[_over(s, keys, order).alias(name) for name, s in outputs.items()])
     return _scan_runs(df, keys, order, outputs, total, limit)
 
 
@@ -143,9 +144,8 @@ def _scan_runs(df, keys, order, outputs, total, limit) -> DataFrame:
         F.col("__run").alias("__carry_run"), *[F.col(k).alias(f"__k_{k}") for k in keys], *carried
     )
 
-    inner = Window.partitionBy("__run", *keys).orderBy(*order)
     local = run.select(
-        "*", *[_over(s, inner).alias(f"__l_{name}") for name, s in outputs.items()]
+        "*", *[_over(s, ["__run", *keys], order).alias(f"__l_{name}") for name, s in outputs.items()]
     )
     same = reduce(
         lambda a, b: a & b,

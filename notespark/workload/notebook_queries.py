@@ -116,13 +116,13 @@ SELECT nb, task, string_agg(CASE WHEN several THEN 'Task ' || task || ':' || chr
 def q_compose_stretches(spark, sf_dir):
     """The lines of every task as one text."""
     marks, pages, strokes, lines = _notebook(spark, sf_dir)
-    return M.compose_stretches(lines, M.stretches(marks, pages, strokes))
+    return M.compose_stretches(lines, M.stretches(marks, pages, strokes)).select("nb", "task", "text")
 
 
 @q(f"""WITH {SLICES}, t AS (SELECT DISTINCT user_id AS nb, unnest([1, 2, 3]) AS task FROM events UNION ALL SELECT -1, 1),
-x AS (SELECT DISTINCT nb, stretch, task FROM cl), l AS (SELECT DISTINCT li.nb, x.task FROM li JOIN x USING (nb, stretch)),
+x AS (SELECT DISTINCT nb, stretch, task FROM cl), l AS (SELECT li.nb, x.task, count(*) AS lines FROM li JOIN x USING (nb, stretch) GROUP BY ALL),
 pages AS (SELECT nb, task, string_agg(DISTINCT CAST(page + 1 AS VARCHAR), ',' ORDER BY CAST(page + 1 AS VARCHAR)) AS pages FROM cl GROUP BY ALL)
-SELECT CAST(t.nb AS BIGINT) AS nb, CAST(t.task AS BIGINT) AS task, CASE WHEN t.nb = -1 THEN 'no-notebook' WHEN l.nb IS NULL THEN 'nothing' ELSE 'ok' END AS status, coalesce(pages, '') AS pages
+SELECT CAST(t.nb AS BIGINT) AS nb, CAST(t.task AS BIGINT) AS task, CASE WHEN t.nb = -1 THEN 'no-notebook' WHEN l.nb IS NULL THEN 'nothing' ELSE 'ok' END AS status, coalesce(pages, '') AS pages, coalesce(lines, 0) AS lines
 FROM t LEFT JOIN l USING (nb, task) LEFT JOIN pages USING (nb, task)""")
 def q_attempt_status(spark, sf_dir):
     """What reading the attempt of every task came to."""
@@ -132,4 +132,4 @@ def q_attempt_status(spark, sf_dir):
     tasks = tasks.union(tasks.limit(1).select(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")))
     got = M.attempt_status(tasks, pages, slices, M.compose_stretches(lines, slices))
     shown = F.array_join(F.array_sort(F.col("pages").cast("array<string>")), ",")
-    return got.select("nb", "task", "status", shown.alias("pages"))
+    return got.select("nb", "task", "status", shown.alias("pages"), "lines")
