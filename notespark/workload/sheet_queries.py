@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P, text as X
-from ..operators import exercises as E, lookup as J, slides as L, tasks as T
+from ..operators import exercises as E, headers as H, lookup as J, slides as L, tasks as T
 from ..session import staging_dir
 from ..sources import files as S, store as W
 from ..streaming.ingest import read_latest, stream_ingest
@@ -199,3 +199,21 @@ def q_search_chosen(spark, sf_dir):
         F.col("item_id").alias("id"), F.lit(None).cast("string").alias("name"),
         F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("License: "), "text")).otherwise(F.col("text")).alias("text"))
     return P.search(docs, F.lit(" LICENSE "), docs.filter("id % 3 = 0").select("id"), earlier).select("id", "part")
+
+
+@q(r"""
+WITH h AS (SELECT doc_id, unnest([
+  {'n': 0, 'kind': 'numbered', 'type': 'Satz', 'number': '1.' || (doc_id % 50), 'name': 'A' || chr(10) || 'Lemma 2.1 b', 'ref': NULL},
+  {'n': 4, 'kind': 'numbered', 'type': 'Proposition', 'number': '3.4', 'name': NULL, 'ref': NULL},
+  {'n': 5, 'kind': 'proof', 'type': 'Beweis', 'number': NULL, 'name': NULL, 'ref': 'Satz 1.2'},
+  {'n': 6, 'kind': 'numbered', 'type': 'Exercise', 'number': '3.5', 'name': NULL, 'ref': NULL},
+  {'n': 6, 'kind': 'boundary', 'type': NULL, 'number': NULL, 'name': NULL, 'ref': NULL},
+  {'n': 7, 'kind': 'boundary', 'type': NULL, 'number': NULL, 'name': NULL, 'ref': NULL}]) AS h FROM documents)
+SELECT doc_id, h.n AS line_no, h.kind, h.type, h.number, h.name, h.ref FROM h
+""")
+def q_header_families(spark, sf_dir):
+    """Headers of all five forms above the text of every document, one wrapped around a blank line and holding another."""
+    top = F.concat(F.lit("Satz\n\n1."), (F.col("doc_id") % 50).cast("string"), F.lit(
+        " (A\nLemma 2.1 b). body\n3.4 Proposition. p\nBeweis von Satz 1.2. c\n3.5 Exercise. d\nLiteratur\n"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.concat(top, "text").alias("text"))
+    return H.header_candidates(pages).select("doc_id", "line_no", "kind", "type", "number", "name", "ref")
