@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import staged
 
-#: Labelled rows a classifier is fitted on at most: those with the smallest hash of their id.
-FIT_ROWS = 50_000
+#: Labelled rows a classifier is fitted on: if there are more, those whose hashed id falls into the share that gives so many.
+FIT_ROWS = 20_000
+SHARES = 1 << 30
 #: The score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -140,7 +141,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, held_out, score, predicted) per row of ``docs``: how likely its label is 1, from the text alone.
 
     Statistics of all texts are staged once. The trees are fitted on the labelled rows that are
-    not held out (crc32 of the id as text, mod 4, is not 2), at most ``fit_rows`` of them; their
+    not held out (crc32 of the id as text, mod 4, is not 2), about ``fit_rows`` of them at most; their
     statistics are all that reaches the driver, and the trees are a few thousand numbers.
     Null and empty texts have statistics of 0 and are scored like any other. A null id is scored
     and never learned from, as are rows with a null or other label; repeated rows get equal
@@ -148,8 +149,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     rows = staged(with_statistics(docs, id_col, text), "statistics")
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label).cast("double").alias("y"))
-    learned = (rows.filter(~is_held_out(F.col("id"))).join(known, F.col("id") == F.col("l_id"))
-               .orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).select("features", "y").toPandas())
+    labelled = rows.filter(~is_held_out(F.col("id"))).join(known, F.col("id") == F.col("l_id")).select(
+        F.xxhash64("id").alias("h"), "id", "features", "y")
+    share = fit_rows / max(1, labelled.count())
+    if share < 1:  # by hash, so that what reaches the driver is about fit_rows rows however many tasks there are
+        labelled = labelled.filter(F.expr(f"pmod(h, {SHARES}) < {int(share * SHARES)}"))
+    learned = labelled.toPandas().sort_values(["h", "id", "y"])
     x = np.array(learned["features"].tolist(), dtype=float).reshape(len(learned), len(FEATURES))
     forest = fit(x, learned["y"].to_numpy(float))
 

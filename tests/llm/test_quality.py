@@ -58,6 +58,8 @@ def test_corner_cases(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     assert all(r["predicted"] == (r["id"] < 500) for r in rows if r["id"] is not None and r["id"] < 900)
     assert [r["held_out"] for r in rows if r["id"] is None] == [False]
+    few = quality.quality_scores(df, spark.createDataFrame(labels, LABELS), fit_rows=150).collect()
+    assert sum(r["predicted"] == (r["id"] < 500) for r in few if r["id"] is not None and r["id"] < 900) >= 390
     none = quality.quality_scores(df, spark.createDataFrame([], LABELS)).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality.quality_scores(spark.createDataFrame([], SCHEMA), spark.createDataFrame(labels, LABELS)).collect() == []
