@@ -13,7 +13,7 @@ from .components import connected_components
 
 BITS, RADIUS = 64, 3
 #: Fingerprints expanded at a time, and variants that one matching group holds on average: bounds on a task's memory.
-EXPAND_ROWS, GROUP_VARIANTS = 4096, 1_000_000
+EXPAND_ROWS, GROUP_VARIANTS = 2048, 500_000
 
 
 def _masks() -> np.ndarray:
@@ -114,8 +114,12 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes = np.diff(np.concatenate([starts, [len(variant)]]))
     hub, some = np.repeat(hub, sizes), np.repeat(some, sizes)
     ok = (some == 1) & (hub != owner) & (np.bitwise_count(hub ^ owner) <= RADIUS)
-    pairs = np.unique(np.stack([hub[ok], owner[ok]], axis=1), axis=0).view(np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    hub, owner = hub[ok], owner[ok]
+    order = np.lexsort((owner, hub))
+    hub, owner = hub[order], owner[order]
+    new = np.ones(len(hub), dtype=bool)
+    new[1:] = (hub[1:] != hub[:-1]) | (owner[1:] != owner[:-1])
+    return pd.DataFrame({"a": hub[new].view(np.int64), "b": owner[new].view(np.int64)})
 
 
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
