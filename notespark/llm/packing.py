@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections import deque
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +15,8 @@ from ..session import staged
 from .pretokens import split
 
 CAPACITY = 2048
-#: Rows that one task ranks on average within a length.
-RANK_ROWS = 100_000
+#: Rows of a length that one task ranks on average, at most and at least: between them a length is dealt to all tasks.
+RANK_ROWS, LEAST_ROWS = 100_000, 1_000
 #: Pre-tokens that a Python worker remembers in each of two generations.
 REMEMBERED = 300_000
 
@@ -61,27 +60,26 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     A cut document consists of full pieces but for the first one. A null or empty text is
     ``end_id`` alone. The tokenizer file lies at the same path on every executor.
     """
-    schema = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
+    fields = "piece: int, start: bigint, length: bigint, ids_crc32: bigint" + (", ids: array<bigint>" if with_ids else "")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = token_bytes(tokenizer)
-        for batch in batches:
-            rows = []
-            for key, t in zip(batch["id"], batch["t"]):
-                ids = encoder.encode(t or "") + end
-                n, key = len(ids) // 4, None if pd.isna(key) else int(key)
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                    part = ids[4 * s:4 * e]
-                    row = [key, k, s, e - s, zlib.crc32(part)]
-                    rows.append(row + [np.frombuffer(part, dtype="<u4").astype(np.int64)] if with_ids else row)
-            out = pd.DataFrame(rows, columns=schema_names)
-            out["id"] = out["id"].astype("Int64")
-            yield out
-
-    schema_names = [f.split()[0] for f in schema.split(", ")]
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("t")).mapInPandas(run, schema)
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        encoder, rows = token_bytes(tokenizer), []
+        for t in texts:
+            ids = encoder.encode(t or "") + end
+            n = len(ids) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+            found = []
+            for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
+                part = ids[4 * s:4 * e]
+                found.append({"piece": k, "start": s, "length": e - s, "ids_crc32": zlib.crc32(part)})
+                if with_ids:
+                    found[-1]["ids"] = np.frombuffer(part, dtype="<u4").astype(np.int64)
+            rows.append(found)
+        return pd.Series(rows)
+
+    return docs.select(F.col(id_col).alias("id"), F.explode(cut(F.col(text))).alias("p")).select("id", "p.*")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -151,7 +149,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 1, 0, 0)],
                                   "s_length bigint, lo bigint, hi bigint, per bigint, first bigint, base bigint")
     top = max([1, *counts.values()])
-    shares = -(-top // RANK_ROWS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(-(-top // RANK_ROWS), min(tasks, -(-top // LEAST_ROWS)))
     dealt = parts.withColumn("share", F.expr(f"pmod(xxhash64(id, piece, ids_crc32), {shares})"))
     sizes = dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(
