@@ -9,6 +9,7 @@ from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..scan import following, previous, scan
@@ -147,29 +148,35 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(len(a) - hi, len(a))]
 
 
-def main_text(lines: list[tuple[str, int]], other: list[int], hashes: list[int]) -> str:
-    """What stays of a page: not what surrounds the article by its markup, nor what it shares with the nearest page.
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
+
+
+def main_text(lines: list[tuple[str, int]], other: list[int]) -> str:
+    """What stays of the lines that markup leaves of a page: not those it shares with the nearest page.
 
     Lines inside a marked article are never shared furniture: neighbours quote and repeat each
-    other. A page without a marked article whose neighbour shares over half of its remaining text
-    is a copy of it, and keeps those lines.
+    other. A page without a marked article whose neighbour shares over half of its text is a copy
+    of it, and keeps those lines.
     """
-    has_article = any(place == ARTICLE for _, place in lines)
-    shared = set(common_subsequence(hashes, other))
-    if has_article:
-        kept = [t for i, (t, place) in enumerate(lines) if place == ARTICLE]
-    else:
-        body = [i for i, (_, place) in enumerate(lines) if place == NEUTRAL]
-        both = [i for i in body if i in shared]
-        total = sum(len(lines[i][0]) for i in body)
-        if 2 * sum(len(lines[i][0]) for i in both) <= total:
-            body = [i for i in body if i not in shared]
-        kept = [lines[i][0] for i in body]
-    return "\n".join(kept)
+    shared = set(common_subsequence([line_hash(t) for t, _ in lines], other))
+    if any(place == ARTICLE for _, place in lines):
+        return "\n".join(t for t, place in lines if place == ARTICLE)
+    if 2 * sum(len(lines[i][0]) for i in shared) > sum(len(t) for t, _ in lines):
+        shared = set()
+    return "\n".join(t for i, (t, _) in enumerate(lines) if i not in shared)
+
+
+def _left(html: str) -> list[tuple[str, int]]:
+    return [line for line in lines_of(html) if line[1] != AROUND]
+
+
+def _hashes(pages: pd.Series) -> pd.Series:
+    return pd.Series([[line_hash(t) for t, _ in _left(h)] for h in pages])
 
 
 def _parse(pages: pd.Series) -> pd.DataFrame:
-    found = [lines_of(h) for h in pages]
+    found = [_left(h) for h in pages]
     return pd.DataFrame({"texts": [[t for t, _ in x] for x in found], "places": [[p for _, p in x] for x in found]})
 
 
@@ -180,9 +187,8 @@ def _after_is_nearer(path: pd.Series, before: pd.Series, after: pd.Series) -> pd
     return pd.Series([shared(p, a) > shared(p, b) for p, b, a in zip(path, before, after)])
 
 
-def _keep(texts: pd.Series, places: pd.Series, hashes: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([main_text(list(zip(t, p)), [] if o is None else list(o), list(h))
-                      for t, p, h, o in zip(texts, places, hashes, other)], dtype=object)
+def _keep(texts: pd.Series, places: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([main_text(list(zip(t, p)), [] if o is None else list(o)) for t, p, o in zip(texts, places, other)], dtype=object)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -195,22 +201,21 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url: str = "url", html
     part, so nulls and repeats do no harm. Other columns are not read.
 
     Only hosts, paths and content hashes are ordered, by a scan that cuts a large host into even
-    runs; then line hashes travel once to the page that needs them.
+    runs. Line hashes travel to the page that needs them; the lines themselves are parsed anew
+    for the one join that brings both together, which costs less than storing them.
     """
-    parse = F.pandas_udf(_parse, "texts array<string>, places array<tinyint>")
+    hashes, parse = F.pandas_udf(_hashes, "array<bigint>"), F.pandas_udf(_parse, "texts array<string>, places array<tinyint>")
     after_is_nearer, keep = F.pandas_udf(_after_is_nearer, "boolean"), F.pandas_udf(_keep, "string")
     read = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    keyed = read.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                        F.xxhash64("url", "html").alias("h1"), F.xxhash64(F.lit(1), "html", "url").alias("h2"),
-                        parse(F.col("html")).alias("p"))
-    parsed = staged(keyed.select("id", "url", "host", "path", "h1", "h2", "p.texts", "p.places",
-                                 F.expr("transform(p.texts, t -> xxhash64(t))").alias("hashes")), "lines")
-    nodes = staged(parsed.select("host", "path", "h1", "h2").distinct(), "pages")
+    keyed = read.select("*", F.xxhash64("url", "html").alias("h1"), F.xxhash64(F.lit(1), "html", "url").alias("h2"))
+    hashed = staged(keyed.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "h1", "h2",
+                                 hashes("html").alias("hashes")), "hashes")
+    nodes = staged(hashed.groupBy("host", "path", "h1", "h2").agg(F.any_value("hashes").alias("hashes")), "pages")
     place = [F.col(c) for c in ("path", "h1", "h2")]
-    around = scan(nodes, ["host"], ["path", "h1", "h2"], before=previous(*place), after=following(*place))
+    around = scan(nodes.drop("hashes"), ["host"], ["path", "h1", "h2"], before=previous(*place), after=following(*place))
     nearest = F.when(F.coalesce(after_is_nearer("path", "before.path", "after.path"), F.lit(True)), F.col("after")).otherwise(F.col("before"))
-    pairs = around.select("h1", "h2", nearest.alias("n"))
-    others = pairs.join(parsed.groupBy(F.col("h1").alias("o1"), F.col("h2").alias("o2")).agg(F.any_value("hashes").alias("other")),
-                        F.expr("n.h1 = o1 and n.h2 = o2")).select("h1", "h2", "other")
-    joined = parsed.drop("host", "path").join(others, ["h1", "h2"], "left")
-    return joined.select("id", "url", keep("texts", "places", "hashes", "other").alias("text"))
+    pairs = around.select("h1", "h2", nearest.alias("n")).select("h1", "h2", F.col("n.h1").alias("o1"), F.col("n.h2").alias("o2"))
+    others = pairs.join(nodes.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("hashes").alias("other")), ["o1", "o2"]).select(
+        "h1", "h2", "other")
+    parsed = keyed.select("id", "url", "h1", "h2", parse("html").alias("p")).select("id", "url", "h1", "h2", "p.texts", "p.places")
+    return parsed.join(others, ["h1", "h2"], "left").select("id", "url", keep("texts", "places", "other").alias("text"))
