@@ -14,7 +14,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 TEMPLATES = (
     ("mit", "Released under the MIT License", ("mit license",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files, to deal in the Software without restriction, including without limitation the rights to "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to "
             "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
      ("permission is hereby granted free of charge", "without restriction")),
     ("apache", "Licensed under the Apache License, Version 2.0", ("apache license",)),
@@ -39,9 +39,10 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain",
      ("free and unencumbered software",)),
 )
-#: Rarest words that a template is looked up by, how many of them must agree on its place, and the
-#: share of its words that must stand where they belong.
-ANCHORS, AGREEING, MATCHED = 3, 2, 0.6
+#: Rarest words that a template is looked up by, how many of them must agree on its place, the share of its words
+#: that must stand in order, and how many words more or less may stand between a word and its place, as a share of the
+#: template's words.
+ANCHORS, AGREEING, MATCHED, SLACK = 3, 2, 0.6, 0.25
 #: The score of a text with a base phrase that no template covers.
 BASE_SCORE = 0.5
 
@@ -54,6 +55,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
+def in_order(template: list[bytes], part: list[bytes], lead: int, slack: int) -> int:
+    """How many words of ``template`` stand in order in ``part``, each within ``slack`` of its place; word 0 belongs at ``lead``."""
+    row = [0] * (len(part) + 1)
+    for j, w in enumerate(template):
+        new = [0]
+        for i, x in enumerate(part):
+            fits = x == w and abs(i - j - lead) <= slack
+            new.append(row[i] + 1 if fits else max(row[i + 1], new[i]))
+        row = new
+    return row[-1]
+
+
 class Index:
     """Postings of the templates' rarest words."""
 
@@ -63,7 +76,8 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed = []
         for k, (_, words, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (frequencies.get(w, 0), w))[:ANCHORS]
+            # Words that no text has find nothing; they come last.
+            rare = sorted(set(words), key=lambda w: (w not in frequencies, frequencies.get(w, 0), w))[:ANCHORS]
             self.needed.append(min(AGREEING, len(rare)))
             for at, w in enumerate(words):
                 if w in rare:
@@ -80,20 +94,30 @@ class Index:
                 labels |= {label} if found else set()
         matched, score = set(labels), BASE_SCORE if labels else 0.0
         if not present.isdisjoint(self.postings):
-            votes = defaultdict(set)
+            votes = defaultdict(lambda: defaultdict(set))
             for i, w in enumerate(words):
                 for k, at in self.postings.get(w, ()):
-                    votes[k, i - at].add(w)
-            for (k, start), agreeing in votes.items():
-                if len(agreeing) < self.needed[k]:
-                    continue
+                    votes[k][i - at].add(w)
+            for k, starts in votes.items():
                 label, template, keys = self.templates[k]
-                lo, hi = max(0, start - 3), start + len(template) + 3
-                window = b" " + b" ".join(words[lo:hi]) + b" "
-                share = sum(0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(template)) / len(template)
-                if share >= MATCHED and all(b" " + b" ".join(key) + b" " in window for key in keys):
-                    matched.add(label)
-                    score = max(score, share)
+                slack = int(SLACK * len(template))
+                ordered = sorted(starts)
+                lo, hi = 0, 0
+                for start in ordered:
+                    while ordered[lo] < start - slack:
+                        lo += 1
+                    while hi < len(ordered) and ordered[hi] <= start + slack:
+                        hi += 1
+                    if len(set().union(*(starts[x] for x in ordered[lo:hi]))) < self.needed[k]:
+                        continue
+                    first = max(0, start - slack - 3)
+                    part = words[first:start + len(template) + slack + 3]
+                    window = b" " + b" ".join(part) + b" "
+                    if all(b" " + b" ".join(key) + b" " in window for key in keys):
+                        share = in_order(template, part, start - first, slack) / len(template)
+                        if share >= MATCHED:
+                            matched.add(label)
+                            score = max(score, share)
         return (len(words), len(places), min(places, default=None), max(places, default=None),
                 ",".join(sorted(labels)), ",".join(sorted(matched)), score)
 
@@ -119,8 +143,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     Base labels stand for phrases that occur word by word. Further labels come from templates: a
     template's rarest words, by the number of texts that hold them, are looked up in the text;
-    where enough of them agree on a place for the template, its key phrases and the share of its
-    words in place decide. The score is the best share, BASE_SCORE at least with a base label, 0
+    where enough of them agree on about the same place for the template, its key phrases and the
+    share of its words that stand there in order decide, so inserted and missing words only shift. The score is the best share, BASE_SCORE at least with a base label, 0
     without labels. Null and empty texts have no words. Rows are judged alone, whatever their
     ids; other columns are not read.
     """

@@ -52,3 +52,26 @@ def test_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r["doc_id"]: by_hand(r["text"]) for r in docs.collect()}
     assert {r["id"]: tuple(r)[1:6] for r in licences.scan_licences(docs).collect()} == want
+
+
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+       "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+       "distribute, sublicense, and/or sell copies of the Software")
+
+
+def test_inserted_missing_and_changed_words(spark):
+    words = MIT.split()
+    texts = [MIT, " ".join(words[:22] + words[24:]), " ".join(words[:25] + ["new", "words", "here"] + words[25:]),
+             " ".join(words[:12] + ["changed"] + words[13:30] + words[31:]), "lead in " * 50 + MIT + " and on" * 50]
+    # A wording that is far from the standard one in order has no label.
+    texts.append(" ".join(["Permission is hereby granted free of charge", "without restriction", *reversed(words[10:])]))
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["id"]: r["labels"] for r in licences.scan_licences(rows).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "mit", 3: "mit", 4: "mit", 5: ""}
+
+
+def test_anchors_occur_in_the_texts():
+    """Two of the words that no text has must not be what a template is looked up by."""
+    wording = "Permission is hereby granted, free of charge, to any person taking a copy of this software and its files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, share, and/or sell copies of the Software"
+    seen = {w: 1 for w in licences.words_of(wording.encode())}
+    assert licences.Index(seen).scan(wording.encode())[5] == "mit"
