@@ -31,10 +31,18 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "widget comment comments commentlist respond disqus discussion replies pagination pager copyright "
                         "contentinfo complementary dialog form".split())
 MAIN_WORDS = frozenset("article articlebody main".split())
+#: Of these words, those that also name layouts and parts of articles. Inside an article they count only in a class
+#: with a companion or another of them, and never for headings and paragraphs; an article below such a wrapper is one.
+WEAK_WORDS = frozenset("notice notices alert discussion replies related recommended search share sharing form dialog side rail menu nav "
+                       "header masthead banner widget complementary copyright consent login respond promotion navigation overlay social "
+                       "subscribe signup toolbar popup modal".split())
+COMPANIONS = frozenset("buttons links bar posts articles icons form widget".split())
+_LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _BLANKS = re.compile(r"\s+")
 
-ARTICLE, NEUTRAL, AROUND = 2, 1, 0
+#: LOOSE is around as well, but an article below it is an article.
+ARTICLE, NEUTRAL, AROUND, LOOSE = 2, 1, 0, -1
 
 
 class Lines(HTMLParser):
@@ -58,7 +66,7 @@ class Lines(HTMLParser):
         line = _BLANKS.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if line:
-            self.lines.append((line, self.state[1]))
+            self.lines.append((line, max(self.state[1], AROUND)))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -75,15 +83,25 @@ class Lines(HTMLParser):
             return
         hidden, place = self.state
         named = {k: v or "" for k, v in attrs}
-        words = {w.lower() for k in ("class", "id", "role") for w in _WORDS.findall(named.get(k, ""))} if attrs else set()
+        marks = {k: {w.lower() for w in _WORDS.findall(_LAYOUT.sub(" ", named[k]))} for k in ("class", "id", "role") if named.get(k)}
+        words = set().union(*marks.values())
         hidden = hidden or tag in HIDDEN or "hidden" in named or named.get("aria-hidden") == "true" or bool(
             re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")))
         if tag not in ("html", "body"):
-            around = tag in ASIDE or bool(words & ASIDE_WORDS) or tag == "header" and place != ARTICLE
+            firm = tag in ASIDE or bool(words & (ASIDE_WORDS - WEAK_WORDS)) or tag == "header" and place != ARTICLE
+            loose = bool(words & WEAK_WORDS)
+            if place == ARTICLE:
+                named_so = marks.get("class", set())
+                loose = not re.fullmatch("p|h[1-6]", tag) and bool(named_so & WEAK_WORDS) and len(named_so & (WEAK_WORDS | COMPANIONS)) > 1
             if tag in MAIN:
-                around = bool(words & {"comment", "comments", "ad", "advert", "related"})
-            if place != AROUND:
-                place = AROUND if around else ARTICLE if tag in MAIN or words & MAIN_WORDS or "articleBody" in named.get("itemprop", "") else place
+                firm, loose = bool(words & {"comment", "comments", "ad", "advert", "related"}), False
+            if place == LOOSE and tag in MAIN and not firm:
+                place = ARTICLE
+            elif place not in (AROUND, LOOSE):
+                main = tag in MAIN or words & MAIN_WORDS or "articleBody" in named.get("itemprop", "")
+                place = AROUND if firm else LOOSE if loose else ARTICLE if main else place
+            elif firm:
+                place = AROUND
         if tag not in BLOCK and place != self.state[1]:
             self.flush()
         self.open.append((tag, hidden, place))

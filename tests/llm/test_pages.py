@@ -121,3 +121,15 @@ def test_small_table(spark, part):
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|b)>", inner)]
         want = "\n".join(b for b in blocks if b)
         assert SequenceMatcher(None, got[r["page_id"]][:3000], want[:3000], autojunk=False).ratio() > 0.99 or got[r["page_id"]] == want
+
+
+@pytest.mark.parametrize("markup, want", [
+    ('<div class="page has-sidebar"><article><p>Body</p></article></div>', "Body"),
+    ('<div id="menu"><p>Home</p><article><p>Body</p></article></div>', "Body"),
+    ('<aside><article><p>Teaser</p></article></aside><article><p>Body</p></article>', "Body"),
+    ('<article><section id="discussion"><p>One</p></section><h2 id="related-work">Two</h2><p class="notice">Three</p><p id="search">Four</p>'
+     '<div id="form"><p>Five</p></div><div class="related-posts">Six</div><p id="share">Seven</p></article>', "One\nTwo\nThree\nFour\nFive\nSeven"),
+])
+def test_words_that_name_layouts(markup, want):
+    left = [line for line in html.lines_of(f"<body>{markup}</body>") if line[1] != html.AROUND]
+    assert html.main_text(left, []) == want
