@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,21 @@ def build_session(app: str = "notespark", master: str | None = None,
         )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, which do not see the driver's path; once a session.
+
+    ``build_session`` does so. A session made elsewhere needs it unless the package is installed on all machines.
+    """
+    if not spark.conf.get("spark.notespark.shipped", None):
+        package = Path(__file__).resolve().parent
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), package.name), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(made)
+        spark.conf.set("spark.notespark.shipped", "true")
 
 
 def staging_dir(spark: SparkSession) -> str:
