@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, exact, html, licences, lines, packing, quality, simhash, urls
+from . import bpe, embeddings, exact, forest, html, licences, lines, merkle, packing, quality, simhash, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,3 +188,29 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     found = html.main_texts(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 leading components."""
+    found = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query()
+def op12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every fiftieth one, searched among all."""
+    found = forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query()
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether it verifies, some of them tampered with."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*map(F.col, LEAF_FIELDS[:-1]), lowered))
+    found = merkle.prove(table(spark, sf_dir, "documents"), LEAF_FIELDS, changed=tampered)
+    return found.withColumnRenamed("id", "doc_id")
