@@ -10,11 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions import keys as K, predicates as P, text as X
 from ..scan import row_number, running_sum, scan
-from .chains import fold_sorted
+from .chains import fold
 from .outline import with_ancestors
 
 COURSE = ["course"]
@@ -196,12 +195,12 @@ def refill(trimmed: DataFrame, keys: list[str], limit: int, sizes: Sizes = None)
     ranked = scan(possible, [*keys, "cost"], ["__np", "ord"], sizes, __k=row_number())
     few = ranked.filter("cost = 0 or __k <= __room div cost")
 
-    def step(left: int | None, cost: int, room: int) -> tuple:
-        left = room if left is None else left
-        return (left - cost, True) if cost <= left else (left, False)
+    def step(left: Column, x: Column) -> Column:
+        fits = x["cost"] <= left
+        return F.struct(F.when(fits, left - x["cost"]).otherwise(left).alias("s"), fits.alias("o"))
 
-    back = fold_sorted(few.select(*keys, "ord", "__np", F.col("cost").cast("bigint").alias("cost"), "__room"), keys,
-                       ["__np", "ord"], ["cost", "__room"], "__back", BooleanType(), None, step).filter("__back")
+    back = fold(few.select(*keys, "ord", "__np", F.col("cost").cast("bigint").alias("cost"), "__room"), keys,
+                ["__np", "ord"], ["cost", "__room"], "__back", F.col("__room"), step).filter("__back")
     return trimmed.join(back.select(*keys, "ord", "__back"), [*keys, "ord"], "left").withColumn(
         "kept", F.col("kept") | F.coalesce("__back", F.lit(False))).select(*trimmed.columns)
 

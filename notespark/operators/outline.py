@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K
 from ..functions.text import clean_title
 from ..scan import key_sizes, last_value, row_number, running_min, running_sum, scan, upper_median
-from .chains import fold_sorted
+from .chains import fold
 
 TRUSTED_SHARE = 0.8
 MAX_ROWS, MAX_CHUNK = 10, 15_000
@@ -148,22 +147,19 @@ def section_extent(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
     """Add ``end_page``: the page before the next node in reading order that starts on a
     later page, else the last page of the document.
 
-    One pass from the last node to the first keeps the pages that may still be an answer: a
-    stack of rising pages, whatever the order of the outline.
+    From the last node to the first a fold keeps the pages that may still be an answer: a
+    stack of rising pages, whatever the order of the outline. A null page is 0.
     """
     doc = "doc_id"
 
-    def step(ahead: tuple, page: int) -> tuple:
-        while ahead and ahead[0] <= page:
-            ahead = ahead[1]
-        return (page, ahead), ahead[0] if ahead else -1
-
-    places = nodes.select(doc, "seq", "page", (-F.col("seq")).alias("__back"))
-    stops = fold_sorted(places, [doc], ["__back"], ["page"], "__stop", LongType(), (), step).select(
-        F.col(doc).alias("__doc"), F.col("seq").alias("__seq"), F.expr("nullif(__stop, -1)").cast(nodes.schema["page"].dataType).alias("__stop"))
-    both = nodes.join(stops, F.col(doc).eqNullSafe(F.col("__doc")) & (F.col("seq") == F.col("__seq")))
-    return both.join(page_counts, doc, "left").select(
-        *nodes.columns, F.coalesce(F.col("__stop") - 1, F.col("n_pages")).alias("end_page"))
+    def step(ahead: Column, x: Column) -> Column:
+        later = F.filter(ahead, lambda page: page > x["__page"])
+        return F.struct(F.concat(F.array(x["__page"]), later).alias("s"), F.get(later, F.lit(0)).alias("o"))
+
+    places = nodes.withColumns({"__back": -F.col("seq"), "__page": F.coalesce(F.col("page"), F.lit(0)).cast("int")})
+    stops = fold(places, [doc], ["__back"], ["__page"], "__stop", F.array().cast("array<int>"), step)
+    return stops.join(page_counts, doc, "left").select(
+        *nodes.columns, F.coalesce((F.col("__stop") - 1).cast(nodes.schema["page"].dataType), F.col("n_pages")).alias("end_page"))
 
 
 def with_ancestors(rows: DataFrame, key: str, name: str = "node") -> DataFrame:

@@ -415,6 +415,21 @@ def q_stream_ingest(spark, sf_dir):
     return I.read_latest(spark, f"{root}/out", ["user_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+@q("""WITH v AS (SELECT user_id, event_id, value, ts, CASE WHEN event_id % 7 > 0 THEN event_id % 3 END AS format, event_type = 'purchase' AS gone FROM events),
+d AS (SELECT user_id, max(ts) AS gone_at FROM v WHERE gone GROUP BY user_id)
+SELECT user_id, event_id, value FROM v LEFT JOIN d USING (user_id) WHERE NOT gone AND (gone_at IS NULL OR ts > gone_at)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(format, -1) DESC, ts DESC) = 1""")
+def q_stream_deletions(spark, sf_dir):
+    """Purchases delete their user, whatever the formats of the rows; layers are merged on the way."""
+    root = os.path.join(staging_dir(spark), f"stream-{uuid.uuid4().hex}")
+    e = table(spark, sf_dir, "events")
+    fmt = F.when(F.col("event_id") % 7 > 0, (F.col("event_id") % 3).cast("int"))
+    incoming = e.select("user_id", "event_id", "value", F.col("ts").alias("mtime"), fmt.alias("format"), (F.col("event_type") == "purchase").alias("gone"))
+    incoming.repartition(7, "event_id").write.parquet(f"{root}/in")
+    I.stream_ingest(spark, incoming.schema, f"{root}/in", f"{root}/out", f"{root}/state", max_files=1, keys=["user_id"], compact_after=3).awaitTermination()
+    return I.read_latest(spark, f"{root}/out", ["user_id"]).select("user_id", "event_id", "value")
+
+
 @q("""SELECT s.course, 'statement' AS kind, id AS item FROM (SELECT o_custkey AS course, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS sheet FROM orders GROUP BY o_custkey) s
 JOIN (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS id FROM lineitem) l ON l_orderkey = sheet WHERE l_linenumber = 1""")
 def q_selection_lookup(spark, sf_dir):
