@@ -122,14 +122,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: fl
     return Forest(start, feature, threshold, leaf)
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, features array<double>) per row; a null text counts as empty."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, features array<double>) per row, with ``carry`` expressions; a null text counts as empty."""
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t or "") for t in texts])
 
-    return docs.select(F.col(id_col).alias("id"), measured(F.col(text)).alias("features"))
+    carried = [c.alias(name) for name, c in (carry or {}).items()]
+    return docs.select(F.col(id_col).alias("id"), measured(F.col(text)).alias("features"), *carried)
 
 
 def is_held_out(key: Column) -> Column:
@@ -137,17 +138,18 @@ def is_held_out(key: Column) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
-                   label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(id, held_out, score, predicted) per row of ``docs``: how likely its label is 1, from the text alone.
+                   label: str = "quality", fit_rows: int = FIT_ROWS, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, held_out, score, predicted) per row of ``docs``: how likely its label is 1, from the text alone. ``carry``
+    adds expressions over ``docs``.
 
     Statistics of all texts are staged once. The trees are fitted on the labelled rows that are
     not held out (crc32 of the id as text, mod 4, is not 2), about ``fit_rows`` of them at most; their
     statistics are all that reaches the driver, and the trees are a few thousand numbers.
     Null and empty texts have statistics of 0 and are scored like any other. A null id is scored
     and never learned from, as are rows with a null or other label; repeated rows get equal
-    scores. Without labels every score is 0.5. Other columns are not read.
+    scores. Without labels every score is 0.5; no rows, no scores. Other columns are not read.
     """
-    rows = staged(with_statistics(docs, id_col, text), "statistics")
+    rows = staged(with_statistics(docs, id_col, text, carry), "statistics")
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label).cast("double").alias("y"))
     labelled = rows.filter(~is_held_out(F.col("id"))).join(known, F.col("id") == F.col("l_id")).select(
         F.xxhash64("id").alias("h"), "id", "features", "y")
@@ -162,5 +164,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def score(features: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.array(features.tolist(), dtype=float).reshape(len(features), len(FEATURES))))
 
-    scored = rows.select("id", is_held_out(F.col("id")).alias("held_out"), score("features").alias("score"))
+    scored = rows.select("id", is_held_out(F.col("id")).alias("held_out"), score("features").alias("score"), *(carry or {}))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -1,28 +1,36 @@
-"""Near-duplicate documents by the share of word shingles they have in common, verified pair by pair."""
+"""Near-duplicate texts by SimHash: ball hashing of pieces of a long fingerprint, links verified on word shingles."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import discard, staged
 from .components import connected_components
-from .exact import _marked, _repeated
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Minima taken of a text, in bands of so many: texts at similarity s share a band with 1 - (1 - s**ROWS)**BANDS,
-#: at 0.8 with 0.9999.
-BANDS, ROWS = 24, 5
-#: Odd factors: each gives the hashes another order.
-FACTORS = np.random.default_rng(7).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-#: Hashes ordered at a time, so that the table of products stays in the cache.
-PART = 512
+#: 64-bit words of a fingerprint, and those of them that the search for candidates works on.
+WORDS, SEARCHED = 32, 8
+#: Share of pairs right at the similarity asked that some piece brings together; closer pairs fare better.
+RECALL = 0.98
+#: Standard deviations by which the distance of fingerprints may exceed what the similarity asked lets expect:
+#: of the words searched for a candidate, of all words for a pair that is worth a look at its shingles.
+SPREAD_SEARCHED, SPREAD = 2.7, 2.2
+#: Fingerprints expanded at a time, and variants that one matching group holds on average: bounds on a task's memory.
+EXPAND_ROWS, GROUP_VARIANTS = 2048, 2_000_000
+#: Odd numbers: each makes another 64 bits of a shingle's hash.
+_SALTS = np.random.default_rng(7).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+#: Order in which pieces take their bits.
+_DEAL = np.concatenate([np.random.default_rng([8, i]).permutation(64 * SEARCHED) for i in range(8)])
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Hashes of the runs of ``width`` words, repeats included, of a text given in UTF-8; of all its words if fewer."""
+    """Sorted distinct hashes of the runs of ``width`` words of a text given in UTF-8; of all its words if fewer."""
     words = (text or b"").lower().split()  # on bytes: A-Z only, and white space is \x20 and \x09-\x0D
     if not words:
         return np.array([], dtype=np.uint64)
@@ -33,17 +41,180 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[:-1]]]
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1:] or ends[-1:])], dtype=np.uint64)
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1:] or ends[-1:])], dtype=np.uint64))
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes: WORDS words, a bit set where over half of the hashes have it; zeros of none."""
+    counts = np.zeros(64 * WORDS, dtype=np.int64)
+    for i in range(0, len(hashes), 255):  # so many can be counted in a byte
+        x = hashes[i:i + 255, None] * _SALTS
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def _flips(least: float) -> float:
+    """Share of differing bits that sets at Jaccard similarity ``least`` let expect."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def limit(least: float, words: int, spread: float) -> int:
+    """Differing bits that ``words`` of two fingerprints may have, that many standard deviations above what ``least`` lets expect."""
+    bits, p = 64 * words, _flips(least)
+    return math.floor(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def shape(rows: int, least: float = SIMILARITY) -> tuple[int, int]:
+    """(bits of a piece, pieces): unlike texts seldom come within two bits, like ones do in some piece with RECALL."""
+    bits = min(48, max(16, math.ceil(math.log2(max(rows, 1))) + 8))
+    p = _flips(least)
+    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - near))
+
+
+def variants(prints: np.ndarray, bits: int, pieces: int) -> np.ndarray:
+    """(print, bucket): for every piece of every fingerprint itself and what one flip makes of it, as 64-bit keys.
+
+    Pieces within two bits of each other have a variant in common.
+    """
+    chosen = _DEAL[np.arange(bits * pieces) % len(_DEAL)]
+    spread = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, chosen]
+    weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    values = (spread.reshape(-1, pieces, bits).astype(np.uint64) * weight).sum(axis=2, dtype=np.uint64)
+    ball = values[:, :, None] ^ np.concatenate([np.zeros(1, np.uint64), weight])
+    keys = (ball + (np.arange(pieces, dtype=np.uint64) << np.uint64(bits))[None, :, None]) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ (keys >> np.uint64(29))).reshape(len(prints), -1)
+
+
+def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
+
+
+def _stars(bucket: np.ndarray, owner: np.ndarray, prints: np.ndarray, most: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """The members of buckets that are shared, each compared with the first of its bucket.
+
+    (places, first place of each one's bucket, whether they are within ``most`` of it, number of the bucket), in the order of buckets.
+    """
+    order = np.argsort(bucket, kind="stable")
+    same = bucket[order[1:]] == bucket[order[:-1]]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    new = shared & ~np.concatenate([[False], same])
+    number = np.cumsum(new[shared]) - 1
+    places = order[shared]
+    first = order[new][number] if len(places) else places
+    close = np.zeros(len(places), dtype=bool)
+    for i in range(0, len(places), 100_000):
+        p, f = places[i:i + 100_000], first[i:i + 100_000]
+        close[i:i + 100_000] = _apart(prints[owner[f]], prints[owner[p]]) <= most(f, p)
+    return places, first, close, number
 
 
-def bands(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The BANDS buckets of a text, signed. Texts without words share theirs."""
-    hashes = shingles(text, width)
-    low = np.full(len(FACTORS), 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(hashes), PART):
-        np.minimum(low, (FACTORS[:, None] * hashes[None, i:i + PART]).min(1), out=low)
-    raw = low.astype("<u8").tobytes()
-    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * b:8 * ROWS * (b + 1)], b) for b in range(BANDS)], dtype=np.uint64).view(np.int64)
+def _open(places: np.ndarray, close: np.ndarray, number: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of three members or more whose first is not close to all of them."""
+    if len(places):
+        sizes, met = np.bincount(number), np.bincount(number, weights=close)
+        chosen = (sizes > 2) & (met < sizes)
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(chosen):
+            yield places[ends[i] - sizes[i]:ends[i]]
+
+
+def _expand(bits: int, pieces: int, groups: int, most: int):
+    """Fingerprints to packed variants, a row per matching group, and to links within the batch.
+
+    Of the members of a bucket in one batch that lie within half the limit of one of them, only
+    that one travels: so a bucket that a third of all texts share does not meet whole in one
+    task. It is marked, and later compared with a wider limit that makes up for those it stands for.
+    """
+    half = most // 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), EXPAND_ROWS):
+                part = batch.iloc[i:i + EXPAND_ROWS]
+                prints = np.ascontiguousarray(np.stack(part["fp"].tolist()).astype(np.int64)[:, :SEARCHED]).view(np.uint64)
+                keys = part["key"].to_numpy(np.int64)
+                made = variants(prints, bits, pieces)
+                owner, bucket = np.repeat(np.arange(len(keys)), made.shape[1]), made.ravel()
+                stays, marked = np.ones(made.size, bool), np.zeros(made.size, bool)
+                places, first, close, number = _stars(bucket, owner, prints, lambda f, p: half)
+                absorbed = close & (places != first)
+                stays[places[absorbed]], marked[first[absorbed]] = False, True
+                links = [owner[first[absorbed]] * len(keys) + owner[places[absorbed]]]
+                for left in _open(places, close, number):
+                    left = left[1:][stays[left[1:]]]
+                    while len(left) > 1:
+                        near = _apart(prints[owner[left[0]]], prints[owner[left]]) <= half
+                        near[0] = False
+                        marked[left[0]] |= near.any()
+                        stays[left[near]] = False
+                        links.append(owner[left[0]] * len(keys) + owner[left[near]])
+                        left = left[1:][~near[1:]]
+                a, b = np.divmod(np.unique(np.concatenate(links)), len(keys))
+                if len(a):
+                    yield pd.DataFrame({"grp": -1, "buckets": None, "owners": None, "keys": keys[a].tobytes(), "prints": keys[b].tobytes()}, index=[0])
+                bucket, owner, marked = bucket[stays], owner[stays], marked[stays]
+                group = (((bucket >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(group, kind="stable")
+                rows = []
+                for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                    used, local = np.unique(owner[own], return_inverse=True)
+                    mark = local.astype(np.uint16) | (marked[own].astype(np.uint16) << np.uint16(15))
+                    rows.append((group[own[0]], bucket[own].tobytes(), mark.tobytes(), keys[used].tobytes(), prints[used].tobytes()))
+                yield pd.DataFrame(rows, columns=["grp", "buckets", "owners", "keys", "prints"])
+
+    return run
+
+
+def _meet(most: int):
+    """Links between the members of one matching group's buckets: a forest of those that are close enough, bucket by bucket."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["grp"].iat[0] < 0:
+            return pd.DataFrame({"a": np.frombuffer(b"".join(pdf["keys"]), np.int64), "b": np.frombuffer(b"".join(pdf["prints"]), np.int64)})
+        bucket = np.frombuffer(b"".join(pdf["buckets"]), np.uint64)
+        marks = [np.frombuffer(o, np.uint16) for o in pdf["owners"]]
+        tables = [len(k) // 8 for k in pdf["keys"]]
+        owner = np.concatenate([(m & np.uint16(0x7FFF)).astype(np.int64) + base for m, base in zip(marks, np.cumsum([0, *tables[:-1]]))])
+        wide = (np.concatenate(marks) >> np.uint16(15)).astype(np.int64)
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.int64)
+        prints = np.frombuffer(b"".join(pdf["prints"]), "<u8").reshape(-1, SEARCHED)
+        bound = lambda f, p: most * (2 + wide[f] + wide[p]) // 2
+        places, first, close, number = _stars(bucket, owner, prints, bound)
+        met = close & (places != first)
+        links = [owner[first[met]] * len(keys) + owner[places[met]]]
+        for own in _open(places, close, number):
+            near = _apart(prints[owner[own[0]]], prints[owner[own]]) <= bound(own[0], own)
+            left, front = own[~near], own[1:][near[1:]].tolist()
+            while len(left):
+                if not front:
+                    front, left = [int(left[0])], left[1:]
+                at = front.pop()
+                near = _apart(prints[owner[at]], prints[owner[left]]) <= bound(at, left)
+                links.append(owner[at] * len(keys) + owner[left[near]])
+                front.extend(left[near].tolist())
+                left = left[~near]
+        a, b = np.divmod(np.unique(np.concatenate(links)), max(1, len(keys)))
+        return pd.DataFrame({"a": keys[a], "b": keys[b]})
+
+    return run
+
+
+def near_prints(prints: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) over ``prints(key, fp array<bigint>)`` that tie together all fingerprints within the limit of ``least`` that some piece brings together."""
+    rows, most = prints.count(), limit(least, SEARCHED, SPREAD_SEARCHED)
+    bits, pieces = shape(rows, least)
+    groups = max(8, -(-rows * pieces * (bits + 1) // GROUP_VARIANTS))
+    packed = prints.select("key", "fp").mapInPandas(
+        _expand(bits, pieces, groups, most), "grp int, buckets binary, owners binary, keys binary, prints binary")
+    # Links within a batch need no company: they are dealt out by themselves.
+    spread = F.when(F.col("grp") < 0, F.xxhash64("keys")).otherwise(F.lit(0))
+    return packed.withColumn("spread", spread).groupBy("grp", "spread").applyInPandas(_meet(most), "a bigint, b bigint").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,84 +224,94 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts in ``docs(key, t)`` reach ``least``. Texts outside pairs are not shuffled."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``sets(key, hashes)`` reach ``least``."""
 
     @F.pandas_udf("boolean")
     def reaches(one: pd.Series, two: pd.Series) -> pd.Series:
-        out, last, own = [], None, None
-        for x, y in zip(one, two):
-            if own is None or x != last:
-                last, own = x, np.unique(shingles(x, width))
-            out.append(similarity(own, np.unique(shingles(y, width))) >= least)
-        return pd.Series(out, dtype=bool)
-
-    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
-    # The helper marks what occurs twice.
-    marks = staged(_repeated(ends.unionByName(ends), ["key"]), "marks")
-    # A key that texts share is one text.
-    texts = staged(_marked(docs, ["key"], marks, "met").filter("met").join(ends, "key", "left_semi").select("key", "t")
-                   .groupBy("key").agg(F.first("t").alias("t")), "texts")
-    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("one")), "a")
-    two = one.join(texts.select(F.col("key").alias("b"), F.col("t").alias("two")), "b")
-    found = staged(two.filter(reaches("one", "two")).select("a", "b"), "links")
-    for t in (texts, marks, ends):
-        discard(t)
-    return found
-
-
-def _links(buckets: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (a, b) that tie together all texts that share a bucket and reach ``least``.
-
-    In each round some members of a bucket, the hubs, are compared with all others that they are
-    not tied to yet, and then leave it: whatever pair they make is settled. A bucket is done when
-    its members are tied together or gone. The hubs double each round, so a group of copies costs
-    a comparison per member and nothing is left out where members differ.
+        return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(one, two)], dtype=bool)
+
+    of = lambda c, name: sets.select(F.col("key").alias(c), F.col("hashes").alias(name))
+    return staged(pairs.join(of("a", "one"), "a").join(of("b", "two"), "b").filter(reaches("one", "two")).select("a", "b"), "links")
+
+
+def _differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, WORDS)),
+               F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(key, component) of ``members(bucket, key, weight, words)``: ties those of a bucket together that reach ``least``.
+
+    In each round some members of a bucket, the hubs, are compared with all that they are not
+    tied to and whose fingerprints are within the limit; then they leave it, as all their pairs
+    are settled. First it is the weightiest member, which most copies are tied to; later hubs are
+    those outside the bucket's largest tie, four times as many each round. A bucket is done when all
+    its members are tied together or those outside have been hubs, so no pair is left out.
     """
-    live = staged(buckets.join(buckets.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi")
-                  .withColumn("component", F.col("key")), "live")
-    tested = links = labels = None
-    turn = 0
+    live, labels, turn = staged(members.withColumn("component", F.col("key")), "live"), None, 0
+    done = [live.select("key").withColumn("component", F.col("key"))]
     while True:
-        share = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << turn))
-        hubs = staged(live.groupBy("bucket", share.alias("share")).agg(F.min_by(F.struct("key", "component"), "key").alias("hub"))
-                      .select("bucket", "hub.*"), "hubs")
-        met = live.alias("l").join(hubs.alias("h"), "bucket").filter("l.component != h.component").select(
-            F.least("l.key", "h.key").alias("a"), F.greatest("l.key", "h.key").alias("b")).distinct()
-        pairs = staged(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(pairs, docs, width, least)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = staged(connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("tied")), "labels")
-        rest = staged(live.join(hubs, ["bucket", "key"], "left_anti").join(labels, "key", "left")
-                      .select("bucket", "key", F.coalesce("tied", "key").alias("component")), "rest")
+        if turn == 0:
+            hubs = live.groupBy("bucket").agg(F.max_by(F.struct("key", "component", "words"), F.struct("weight", "key")).alias("hub"))
+        else:
+            ties = live.groupBy("bucket", "component").count()
+            main = ties.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+            share = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(4**turn))
+            hubs = live.join(main, "bucket").filter("component != main").groupBy("bucket", share.alias("share")).agg(
+                F.min_by(F.struct("key", "component", "words"), "key").alias("hub"))
+        hubs = staged(hubs.select("bucket", F.col("hub.key").alias("hub"), F.col("hub.component").alias("tie"), F.col("hub.words").alias("own")), "hubs")
+        met = live.join(hubs, "bucket").filter((F.col("component") != F.col("tie")) & (_differing("words", "own") <= limit(least, WORDS, SPREAD)))
+        pairs = staged(met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "pairs")
+        found = _verified(pairs, sets, least)
+        tie = live.select("key", "component")
+        between = found.join(tie.select(F.col("key").alias("a"), F.col("component").alias("x")), "a").join(
+            tie.select(F.col("key").alias("b"), F.col("component").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        renamed = staged(connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("new")), "renamed")
+        done.append(renamed)
+        rest = live.join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti").join(renamed, "component", "left")
+        rest = staged(rest.select("bucket", "key", "weight", "words", F.coalesce("new", "component").alias("component")), "rest")
         open_ = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
         left = staged(rest.join(open_, "bucket", "left_semi"), "live")
-        for t in (live, hubs, rest):
-            discard(t)
+        for t in (live, hubs, pairs, found, rest):
+            if t is not live or turn:
+                discard(t)
         if left.isEmpty():
-            return labels
+            break
         live, turn = left, turn + 1
+    labels = done[0]
+    for renamed in done[1:]:
+        labels = labels.join(renamed, "component", "left").select("key", F.coalesce("new", "component").alias("component"))
+    return staged(labels, "labels")
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """(id, key, component): a hash of each row's text and the smallest id reachable over texts that share ``least`` of their shingles.
 
-    Pairs are found by banded minima of the shingle hashes and compared on the shingles themselves
-    before they are linked. Null, empty and white-space texts have no shingles and are alike.
-    Repeated rows share a key. A null id gets the component of its text, which is null only if no
+    Long SimHash fingerprints of the distinct shingles are cut into pieces; every piece emits all
+    its variants within half the radius of two bits, and texts that share a variant and whose
+    fingerprints are within the limit are candidates. Before they are linked, candidates are
+    compared on their shingles, so a link is never below ``least``; RECALL says how many of
+    the links right at ``least`` may be missed. Null, empty and white-space texts have no shingles and
+    are alike. Repeated rows share a key. A null id gets the component of its text, which is null only if no
     member has an id. Other columns are not read, whatever their names. No rows, no rows.
     """
-    buckets_of = F.pandas_udf(lambda texts: pd.Series([bands(t, width) for t in texts]), "array<bigint>")
+    print_of = F.pandas_udf(lambda texts: pd.Series([fingerprint(shingles(t, width)).view(np.int64) for t in texts]), "array<bigint>")
+    set_of = F.pandas_udf(lambda texts: pd.Series([shingles(t, width).tobytes() for t in texts]), "binary")
     t = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_col).alias("id"), t.cast("binary").alias("t"), F.xxhash64(t).alias("key"))
-    prints = staged(read.select("id", "key", buckets_of("t").alias("bands")), "prints")
-    buckets = staged(prints.select(F.explode("bands").alias("bucket"), "key").distinct(), "buckets")
-    labels = _links(buckets, read.select("key", "t"), width, least)
-    labelled = staged(prints.select("id", "key").join(labels, "key", "left")
-                      .select("id", "key", F.coalesce("tied", "key").alias("component")), "labelled")
+    prints = staged(read.select("id", "key", print_of("t").alias("fp")), "prints")
+    distinct = staged(prints.groupBy("key").agg(F.any_value("fp").alias("fp")), "distinct")
+    edges = staged(near_prints(distinct, least), "candidates")
+    buckets = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("bucket"))
+    weight = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    members = staged(buckets.join(weight, "key").join(distinct, "key").select("bucket", "key", "weight", F.col("fp").alias("words")), "members")
+    # Texts travel once, and only those of candidates stay.
+    chosen = read.select("key", "t").join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t"))
+    sets = staged(chosen.select("key", set_of("t").alias("hashes")), "sets")
+    labels = _links(members, sets, least)
+    labelled = staged(prints.select("id", "key").join(labels, "key", "left").select("id", "key", F.coalesce("component", "key").alias("component")), "labelled")
     smallest = staged(labelled.groupBy("component").agg(F.min("id").alias("smallest")), "smallest")
-    for table in (buckets, prints):
+    for table in (edges, members, sets, distinct, prints):
         discard(table)
     return labelled.join(smallest, "component").select("id", "key", F.col("smallest").alias("component"))

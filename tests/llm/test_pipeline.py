@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_duplicates import groups_by_hand, simhash_by_hand
+from test_similar import groups, shingle_set
 from test_tokens import check_packing
 
 import corpus_pipeline
@@ -25,8 +25,8 @@ def exact_by_hand(rows):
 
 def near_by_hand(rows):
     rows = sorted(rows, key=lambda r: r[0])
-    groups = groups_by_hand([simhash_by_hand(r[1]) for r in rows])
-    return [r[0] for i, r in enumerate(rows) if groups[i] == i]
+    _, root = groups([shingle_set(r[1]) for r in rows])
+    return [r[0] for i, r in enumerate(rows) if root[i] == i]
 
 
 def ids(df):
@@ -60,13 +60,28 @@ def test_clean_documents_stay(spark):
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:]])
 def test_odd_rows(spark, stage):
     rows = [(1, "a b c", "en", None, 5), (1, "a b c", "en", None, 5), (2, None, None, "s", None), (3, "", "en", "s", 0), (None, "no id", "en", "s", 5),
-            (4, "x " * 60_000, "en", "s", 120_000), (5, "a bc", "en", "s", 4)]
-    got = stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+            (4, "x " * 60_000, "en", "s", 120_000), (5, "a bc", "en", "s", 4), (None, "a b c", "en", "s", 5), (6, "once", "en", "s", 4), (6, "a b c", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("id", "key", "component", "t", "__twin_of")})
+    got = stage(spark, docs, SF).collect()
     kept = Counter(r["doc_id"] for r in got if r["doc_id"] != 4)
     if stage is corpus_pipeline.exact_dedup:
-        assert kept == Counter([1, 2, None])
+        assert kept == Counter([1, 2, None, 6])  # of the id given twice only the text that others have goes
+        assert [r["text"] for r in got if r["doc_id"] == 6] == ["once"]
     elif stage is corpus_pipeline.near_dedup:
-        assert kept == Counter([1, 1, 2, None, 5])
+        assert kept == Counter([1, 1, 2, None, 5, 6])
+        assert [r["text"] for r in got if r["doc_id"] in (None, 6)] in (["no id", "once"], ["once", "no id"])
     else:
-        assert kept == Counter([1, 1, 2, 3, None, 5])
+        assert kept == Counter([1, 1, 2, 3, None, None, 5, 6, 6])
     assert stage(spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+
+
+def test_rejected_rows_go_by_id_and_text(spark, tmp_path):
+    """The classifier's decision meets the row that it was made for: ids that are null or given twice."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r["key"]: r["predicted"] for r in quality.quality_scores(docs, labels, carry={"key": F.xxhash64(F.coalesce("text", F.lit("")))}).collect()}
+    twice = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("doc_id") - F.col("doc_id") % 2).cast("bigint"))
+    train = docs.unionByName(twice.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") + 10**6)))
+    got = corpus_pipeline.quality_filter(spark, train, str(tmp_path)).withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    want = train.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    assert Counter((r["doc_id"], r["key"]) for r in got) == Counter((r["doc_id"], r["key"]) for r in want if scores[r["key"]] == 1)

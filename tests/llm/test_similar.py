@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 
 import corpus_pipeline
 from notespark.llm import similar
@@ -65,23 +66,95 @@ def test_stage_against_brute_force(spark):
     assert kept == {i for i, c in enumerate(want) if i == c}
 
 
-def test_buckets_of_unlike_members(spark):
-    """Texts a, b, c of one bucket: the hub is like neither of two that are alike."""
+def test_unlike_members_of_a_bucket(spark):
+    """Texts a, b, c of one bucket: the hub is like neither of two that are alike; the bucket is done when all pairs were looked at."""
     words = ["x%d" % i for i in range(100)]
-    rows = [" ".join(words), " ".join(words[:50] + ["y%d" % i for i in range(50)]), " ".join(words[:50] + ["y%d" % i for i in range(49)])]
+    made = [" ".join(words), " ".join(words[:50] + ["y%d" % i for i in range(50)]), " ".join(words[:50] + ["y%d" % i for i in range(49)])]
     for order in itertools.permutations(range(3)):
-        docs = spark.createDataFrame([(k, rows[i]) for k, i in enumerate(order)], "key bigint, t string").selectExpr("key", "cast(t as binary) t")
-        tied = similar._links(docs.selectExpr("1L as bucket", "key"), docs, 5, 0.8).collect()
-        assert {r["key"] for r in tied} == {order.index(1), order.index(2)}
+        rows = [(1, k, 1, similar.fingerprint(similar.shingles(made[i].encode())).view(np.int64).tolist(), similar.shingles(made[i].encode()).tobytes())
+                for k, i in enumerate(order)]
+        df = spark.createDataFrame(rows, "bucket bigint, key bigint, weight bigint, words array<bigint>, hashes binary")
+        got = {r["key"]: r["component"] for r in similar._links(df.drop("hashes"), df.select("key", "hashes"), 0.8).collect()}
+        assert got[order.index(1)] == got[order.index(2)] != got[order.index(0)]
 
 
-def test_recall_at_the_border():
-    rng = random.Random(9)
-    met = n = 0
-    while n < 400:
+def borders(n, seed=9):
+    """Pairs of texts at Jaccard 0.8 to 0.82."""
+    rng = random.Random(seed)
+    while n:
         base = ["w%d" % rng.randrange(5000) for _ in range(200)]
-        copy = edited(rng, base, rng.randrange(2, 5))
-        if 0.8 <= jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(copy))) < 0.9:
-            n += 1
-            met += bool(np.any(similar.bands(" ".join(base).encode()) == similar.bands(" ".join(copy).encode())))
-    assert met >= 0.99 * n
+        copy = edited(rng, base, rng.randrange(2, 6))
+        if 0.8 <= jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(copy))) < 0.82:
+            n -= 1
+            yield " ".join(base), " ".join(copy)
+
+
+def test_recall_at_the_border():
+    """Right at the similarity asked and for as many rows as a corpus has: bits of a piece, both limits."""
+    bits, pieces = similar.shape(10**9)
+    made = list(borders(400))
+    one, two = (np.stack([similar.fingerprint(similar.shingles(p[i].encode())) for p in made]) for i in (0, 1))
+    some, other = (similar.variants(np.ascontiguousarray(x[:, :similar.SEARCHED]), bits, pieces) for x in (one, two))
+    met = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(some, other)])
+    met &= similar._apart(one[:, :similar.SEARCHED], two[:, :similar.SEARCHED]) <= similar.limit(0.8, similar.SEARCHED, similar.SPREAD_SEARCHED)
+    met &= similar._apart(one, two) <= similar.limit(0.8, similar.WORDS, similar.SPREAD)
+    assert met.mean() >= 0.93
+
+
+def test_a_shared_passage_ties_nothing(spark, monkeypatch):
+    """2,000 texts of one passage and own words at Jaccard 0.42: no pair is looked at, and none is linked."""
+    rng = random.Random(3)
+    passage = ["p%d" % i for i in range(40)]
+    made = [" ".join(passage + ["o%d" % rng.randrange(10**9) for _ in range(25)]) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], SCHEMA)
+    looked_at = []
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: looked_at.append(pairs.count()) or verified(pairs, *rest))
+    assert all(r["id"] == r["component"] for r in similar.near_texts(docs).collect())
+    assert sum(looked_at) <= 20
+
+
+def test_a_large_group_of_copies(spark, monkeypatch):
+    """1,500 light edits of one text: tied together by about as many comparisons, and by few entries of shared buckets."""
+    rng = random.Random(4)
+    base = ["g%d" % i for i in range(400)]
+    made = [" ".join(edited(rng, base, 3)) for _ in range(1500)] + [" ".join("z%d" % rng.randrange(10**9) for _ in range(50)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], SCHEMA)
+    looked_at = []
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: looked_at.append(pairs.count()) or verified(pairs, *rest))
+    got = {r["id"]: r["component"] for r in similar.near_texts(docs).collect()}
+    assert got == {i: 0 if i < 1500 else i for i in got} and len(got) == 1700
+    assert sum(looked_at) <= 5 * 1500
+
+
+def test_widened_limits_make_up_for_what_stays_behind():
+    """Members that a batch leaves behind are still tied to those of another batch that are close to them alone."""
+    most, words = similar.limit(0.8, similar.SEARCHED, similar.SPREAD_SEARCHED), similar.SEARCHED
+    chain = [np.zeros(64 * words, np.uint8)]
+    chain *= 4  # a - x - z - b: each step within its limit, a and b farther apart than any
+    flips = np.array_split(np.setdiff1d(np.arange(64 * words), similar._DEAL[:26])[:2 * (most // 2) + most], [most // 2, most // 2 + most])
+    for i, f in enumerate(flips):
+        chain[i + 1] = chain[i].copy()
+        chain[i + 1][f] ^= 1
+    prints = [np.packbits(c, bitorder="little").view("<u8").view(np.int64) for c in chain]
+    full = [np.concatenate([p, np.zeros(similar.WORDS - words, np.int64)]) for p in prints]
+    packed = []
+    for own in ((0, 1), (3, 2)):
+        packed += list(similar._expand(26, 1, 1, most)(iter([pd.DataFrame({"key": own, "fp": [full[k] for k in own]})])))
+    rows = pd.concat(packed)
+    links = [(int(a), int(b)) for grp in (-1, 0) for part in [rows[rows["grp"] == grp]] for a, b in similar._meet(most)(part).to_numpy()]
+    root = {k: k for k in range(4)}
+    for a, b in links:
+        old, new = root[a], root[b]
+        root = {k: new if r == old else r for k, r in root.items()}
+    assert len(set(root.values())) == 1
+
+
+def test_odd_rows_and_names(spark):
+    rows = [(1, "a b c d e f"), (2, "A  b\tc d e f"), (3, None), (4, ""), (None, " \n"), (None, "alone and only"), (5, "x " * 70_000), (5, "x " * 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = docs.withColumns({c: docs["doc_id"] for c in ("id", "key", "component", "t", "fp", "bucket")})
+    got = sorted(((r["id"], r["component"]) for r in similar.near_texts(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 3), (None, 3), (None, None), (5, 5), (5, 5)], key=str)
+    assert similar.near_texts(docs.limit(0)).collect() == []
