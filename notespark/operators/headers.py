@@ -7,6 +7,8 @@ narrow table, and the page texts are cut once at the end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import non_empty, strip
@@ -42,6 +44,9 @@ _MAYBE_HEADER = (
 #: A header is a type word, a number and a name of at most 80 characters, with any space between
 #: them: apart from blank lines it cannot reach over more lines than this.
 HEADER_LINES = 85
+#: Nor over more characters than these, not counting white space, digits and full stops.
+HEADER_CHARS, FEW_LINES = 150, 2
+UNCOUNTED = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "0123456789."
 
 
 def line_table(pages: DataFrame) -> DataFrame:
@@ -49,41 +54,67 @@ def line_table(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and in whatever inner expression it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def each(array: Column) -> Column:
+    """One row per element; a null where there is none, to be filtered out. A plain explode makes
+    the optimizer filter empty arrays first, which computes a costly array once more."""
+    return F.explode_outer(array)
+
+
 def header_lines(pages: DataFrame, pattern: str) -> DataFrame:
     """Lines matching ``pattern`` with what follows on their page: (doc_id, page, line_no, rest).
 
     A header may wrap, so it is looked for in the next lines as well: whole lines, blank ones
     not counted, as many as a header can reach over.
     """
-    lines = F.split("text", "\n")
-    filled = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
-    at = F.col("line_no").cast("int")
-    stop = F.coalesce(F.get("filled", (F.array_position("filled", at) + HEADER_LINES).cast("int")), F.size(lines))
-    hits = F.filter(
-        F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i)), lambda i: i.isNotNull()
-    )
-    return pages.select("doc_id", "page", "text", filled.alias("filled"), F.explode(hits).alias("line_no")).select(
-        "doc_id", "page", "line_no",
-        F.array_join(F.slice(lines, F.col("line_no") + 1, stop - F.col("line_no")), "\n").alias("rest"),
-    )
+    def hits(lines: Column, filled: Column) -> Column:
+        def upto(i: Column, count: int) -> Column:
+            stop = F.coalesce(F.get(filled, (F.array_position(filled, i) + count).cast("int")), F.size(lines))
+            return F.array_join(F.slice(lines, i + 1, stop - i), "\n")
+
+        def hit(line: Column, i: Column) -> Column:
+            # Lines are seldom so short that a header could reach beyond a few of them.
+            rest = once(upto(i, FEW_LINES), lambda few: F.when(F.length(F.translate(few, UNCOUNTED, "")) > HEADER_CHARS, few).otherwise(upto(i, HEADER_LINES)))
+            return F.when(line.rlike(pattern), F.struct(i.alias("line_no"), rest.alias("rest")))
+
+        return F.filter(F.transform(lines, hit), lambda h: h.isNotNull())
+
+    def filled(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
+
+    found = once(F.split("text", "\n"), lambda lines: once(filled(lines), lambda full: hits(lines, full)))
+    return pages.select("doc_id", "page", each(found).alias("h")).filter("h is not null").select("doc_id", "page", "h.line_no", "h.rest")
 
 
 def without_nested(cands: DataFrame) -> DataFrame:
     """Candidates that do not begin inside an earlier match of their own form, as in a scan from
     left to right. ``inner`` (dropped) is how many further lines a match begins or runs through.
 
-    Only lines that some earlier match reaches are in doubt; they are decided in order within
-    their stretch of such lines.
+    Only lines that some earlier match reaches are in doubt. A stretch of such lines is walked
+    along: from a kept match the next one is the first that begins behind it.
     """
-    w = Window.partitionBy("doc_id", "page", "ord").orderBy("line_no")
+    page = ["doc_id", "page", "ord"]
+    w = Window.partitionBy(*page).orderBy("line_no")
     reach = F.max(F.col("line_no") + F.col("inner")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    doubted = cands.withColumn("__doubt", F.coalesce(reach >= F.col("line_no"), F.lit(False)))
-    grouped = doubted.withColumn("__stretch", F.sum((~F.col("__doubt")).cast("int")).over(w))
-    before = F.collect_list(F.struct("line_no", "inner")).over(
-        Window.partitionBy("doc_id", "page", "ord", "__stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    end = F.aggregate("__before", F.lit(-1), lambda upto, m: F.when(m["line_no"] > upto, m["line_no"] + m["inner"]).otherwise(upto))
-    judged = grouped.withColumn("__before", before)
-    return judged.filter(~F.col("__doubt") | (F.col("line_no") > end)).select(*[c for c in cands.columns if c != "inner"])
+    marked = cands.withColumn("__free", F.coalesce(reach < F.col("line_no"), F.lit(True)).cast("int"))
+    stretches = marked.withColumn("__stretch", F.sum("__free").over(w))
+    rest = [c for c in cands.columns if c not in page]
+    order = ["line_no", "inner", *[c for c in rest if c not in ("line_no", "inner")]]
+    # The windows have dealt the rows by page and form already, so this moves nothing.
+    walked = stretches.groupBy(*page, "__stretch").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("ms"))
+    start = F.struct(F.lit(-1).cast("int").alias("upto"), F.slice("ms", 1, 0).alias("kept"))
+
+    def step(state: Column, m: Column) -> Column:
+        return F.when(m["line_no"] > state["upto"], F.struct(
+            (m["line_no"] + m["inner"]).cast("int").alias("upto"), F.array_append(state["kept"], m).alias("kept"))).otherwise(state)
+
+    kept = F.when(F.size("ms") == 1, F.col("ms")).otherwise(F.aggregate("ms", start, step, lambda state: state["kept"]))
+    return walked.select(*page, F.explode(kept).alias("m")).select(
+        *[F.col(c) if c in page else F.col(f"m.{c}").alias(c) for c in cands.columns if c != "inner"])
 
 
 def header_candidates(pages: DataFrame) -> DataFrame:
@@ -99,36 +130,29 @@ def header_candidates(pages: DataFrame) -> DataFrame:
 
     opening = r.rlike(r"^\d")
 
-    def reading(ord_: int, kind: str, pattern: str, type_=none, number=none, name=none, ref=none):
-        match = F.regexp_extract(r, pattern, 0)
-        first_word = F.element_at(F.split(type_, " "), 1)
-        word = F.when(ref.isNull(), first_word) if kind != "boundary" else none
-        # Headers that begin with a digit and headers that do not exclude each other.
-        digit = pattern in (NUMBER_FIRST, PROBLEM)
-        fits = r.rlike(pattern) if kind == "boundary" and not digit else (opening if digit else ~opening) & r.rlike(pattern)
-        return F.when(
-            fits,
-            F.struct(
-                F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), type_.alias("type"),
-                number.alias("number"), name.alias("name"), ref.alias("ref"), word.alias("word"),
+    def reading(ord_: int, kind: str, pattern: str, parts: Callable[[Callable[[int], Column]], dict[str, Column]] = lambda part: {}) -> Column:
+        """The pattern is matched once; its groups are read from what it matched, which is short."""
+        def header(match: Column) -> Column:
+            own = {"type": none, "number": none, "name": none, "ref": none} | parts(lambda group: non_empty(F.regexp_extract(match, pattern, group)))
+            word = F.when(own["ref"].isNull(), F.element_at(F.split(own["type"], " "), 1)) if kind != "boundary" else none
+            return F.when(match != "", F.struct(
+                F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), *[c.alias(name) for name, c in own.items()], word.alias("word"),
                 F.length(match).alias("match_len"),
-                (F.size(F.split(match, "\n")) - 1 - match.endswith("\n").cast("int")).alias("inner"),
-            ),
-        )
+                (F.size(F.split(match, "\n")) - 1 - match.endswith("\n").cast("int")).alias("inner")))
 
-    def part(pattern, group):
-        return non_empty(F.regexp_extract(r, pattern, group))
+        # Headers that begin with a digit and headers that do not exclude each other; boundaries may be either.
+        may = opening if pattern in (NUMBER_FIRST, PROBLEM) else ~opening if kind != "boundary" else F.lit(True)
+        return once(F.when(may, F.regexp_extract(r, pattern, 0)).otherwise(""), header)
 
     readings = F.array(
-        reading(0, "numbered", NUMBERED, part(NUMBERED, 1), part(NUMBERED, 2), part(NUMBERED, 3)),
-        reading(1, "numbered", NUMBER_FIRST, part(NUMBER_FIRST, 2), part(NUMBER_FIRST, 1), part(NUMBER_FIRST, 3)),
-        reading(2, "proof", PROOF, part(PROOF, 1),
-                ref=non_empty(F.concat_ws(" ", part(PROOF, 2), part(PROOF, 3)))),
+        reading(0, "numbered", NUMBERED, lambda part: {"type": part(1), "number": part(2), "name": part(3)}),
+        reading(1, "numbered", NUMBER_FIRST, lambda part: {"type": part(2), "number": part(1), "name": part(3)}),
+        reading(2, "proof", PROOF, lambda part: {"type": part(1), "ref": non_empty(F.concat_ws(" ", part(2), part(3)))}),
         reading(3, "boundary", SECTION_BOUNDARY),
         reading(4, "boundary", PROBLEM),
     )
     found = F.filter(readings, lambda x: x.isNotNull())
-    return without_nested(lines.select("doc_id", "page", "line_no", F.explode(found).alias("h")).select(
+    return without_nested(lines.select("doc_id", "page", "line_no", each(found).alias("h")).filter("h is not null").select(
         "doc_id", "page", "line_no", "h.*"
     ))
 
@@ -229,23 +253,24 @@ def cut_blocks(pages: DataFrame, headers: DataFrame) -> DataFrame:
         ["doc_id"], ["page"], into=last_value(F.col("last"), inclusive=False),
     ).select(*page, "into")
 
-    lines = F.split("text", "\n")
-
-    def piece(h, i):
-        stop = F.coalesce(F.get("hs", i + 1)["line_no"], F.size(lines))
-        text = F.array_join(F.slice(lines, h["line_no"] + 1, stop - h["line_no"]), "\n")
-        return F.struct(h["block"].alias("block"), h["kind"].alias("kind"),
-                        F.substring(text, h["match_len"] + 1, F.length(text)).alias("piece"))
-
-    lead_stop = F.coalesce(F.get("hs", F.lit(0))["line_no"], F.size(lines))
-    lead = F.struct(
-        F.col("into.block").alias("block"), F.col("into.kind").alias("kind"),
-        F.array_join(F.slice(lines, F.lit(1), lead_stop), "\n").alias("piece"))
-    pieces = F.concat(F.array(lead), F.coalesce(F.transform("hs", piece), F.array().cast(
-        "array<struct<block:bigint,kind:string,piece:string>>")))
+    def pieces_of(lines: Column) -> Column:
+        def piece(h: Column, i: Column) -> Column:
+            stop = F.coalesce(F.get("hs", i + 1)["line_no"], F.size(lines))
+            text = F.array_join(F.slice(lines, h["line_no"] + 1, stop - h["line_no"]), "\n")
+            return F.struct(h["block"].alias("block"), h["kind"].alias("kind"),
+                            F.substring(text, h["match_len"] + 1, F.lit(2**31 - 1)).alias("piece"))
+
+        lead_stop = F.coalesce(F.get("hs", F.lit(0))["line_no"], F.size(lines))
+        lead = F.struct(
+            F.col("into.block").alias("block"), F.col("into.kind").alias("kind"),
+            F.array_join(F.slice(lines, F.lit(1), lead_stop), "\n").alias("piece"))
+        return F.concat(F.array(lead), F.coalesce(F.transform("hs", piece), F.array().cast(
+            "array<struct<block:bigint,kind:string,piece:string>>")))
+
+    pieces = once(F.split("text", "\n"), pieces_of)
     cut = (
         pages.select(*page, "text").join(into.join(by_page, page, "left"), page)
-        .select(*page, F.explode(pieces).alias("p"))
+        .select(*page, each(pieces).alias("p"))
         .filter("p.block is not null and p.kind <> 'boundary'")
     )
     # One block is one text value; its pieces are at most one per page.
