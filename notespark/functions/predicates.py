@@ -113,11 +113,14 @@ def matches(id_: Column, name: Column, text: Column, needle: Column) -> Column:
     return F.contains(F.lower(hay), F.lower(F.trim(needle)))
 
 
-def search(entries: DataFrame, needle: Column, chosen: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+def search(entries: DataFrame, needle: Column, chosen: DataFrame | None = None, earlier: DataFrame | None = None,
+           chosen_earlier: DataFrame | None = None) -> DataFrame:
     """(entry columns, part) of the ``entries`` (id, name, text) that match. With ``chosen`` (id) only
-    those count; ``earlier`` are tasks of earlier sheets, searched as well."""
+    those count; ``earlier`` are tasks of earlier sheets, searched as well, with ``chosen_earlier`` (id) only those chosen."""
     own = entries if chosen is None else entries.join(chosen.distinct(), "id", "left_semi")
     found = own.withColumn("part", F.lit("all" if chosen is None else "chosen"))
+    if earlier is not None and chosen_earlier is not None:
+        earlier = earlier.join(chosen_earlier.select("id").distinct(), "id", "left_semi").select(*earlier.columns)
     if earlier is not None:
         found = found.unionByName(earlier.withColumn("part", F.lit("earlier")))
     return found.filter(matches(F.col("id").cast("string"), F.col("name"), F.col("text"), needle))

@@ -287,7 +287,12 @@ def selection_changed(before: DataFrame, after: DataFrame, keys: list[str]) -> D
 def selection_items(selection: DataFrame, entries: DataFrame, nodes: DataFrame, off: DataFrame,
                     keys: list[str] = COURSE) -> DataFrame:
     """One line per chosen section, single statement, proof inside a section and earlier task:
-    (keys, ord, kind, item, text, off), own material before that of other scripts."""
+    (keys, ord, kind, item, text, off). ``ord`` counts from 1: own material before that of other
+    scripts, earlier tasks last; sections by key, statements and proofs in script order, what
+    is not known last."""
+    def place(section: Column, page: Column = F.lit(0), pos: Column = F.lit(0)) -> Column:
+        return F.struct(section.alias("section"), page.cast("int").alias("page"), pos.cast("bigint").alias("pos")).alias("__place")
+
     title = nodes.select(*keys, F.col("key").alias("item"), F.col("title").alias("__title"))
     root = nodes.select(*keys, F.col("key").alias("__root"), F.col("title").alias("__root_title"))
     label = K.section_label(F.col("item"), F.col("__title"), F.col("__root_title"))
@@ -300,22 +305,23 @@ def selection_items(selection: DataFrame, entries: DataFrame, nodes: DataFrame,
         selection.filter("kind = 'section'").withColumn("__root", K.root(F.col("item")))
         .join(title, [*keys, "item"], "left").join(root, [*keys, "__root"], "left")
         .select(*keys, F.lit(0).alias("part"), "kind", "item", section_text.alias("text"),
-                K.is_extra(F.col("item")).alias("extra"))
+                K.is_extra(F.col("item")).alias("extra"), place(K.sort_key(F.col("item"))))
     )
     known = statements(entries, True).select(
-        *keys, F.col("id").alias("item"), "section",
+        *keys, F.col("id").alias("item"), "section", place(*script_order()),
         X.statement_label(F.col("id"), F.col("name"), F.col("text"), F.col("type")).alias("__label"))
-    known = known.groupBy(*keys, "item").agg(F.first("__label").alias("__label"), F.first("section").alias("section"))
+    known = known.groupBy(*keys, "item").agg(F.first("__label").alias("__label"), F.first("section").alias("section"), F.min("__place").alias("__place"))
     proofs = selection.filter("kind = 'proof'").select(*keys, "item").distinct()
     singles = (
         selection.filter("kind = 'statement'").join(known, [*keys, "item"], "left")
         .join(proofs.withColumn("__p", F.lit("  + proof")), [*keys, "item"], "left")
         .select(*keys, F.lit(1).alias("part"), "kind", "item",
                 F.concat(F.coalesce("__label", "item"), F.coalesce("__p", F.lit(""))).alias("text"),
-                K.is_extra(F.col("section")).alias("extra"))
+                K.is_extra(F.col("section")).alias("extra"), "__place")
     )
     every = selection.filter("kind = 'proofs'").select(
-        *keys, F.lit(2).alias("part"), "kind", "item", F.lit("+ all their proofs").alias("text"), F.lit(False).alias("extra"))
+        *keys, F.lit(2).alias("part"), "kind", "item", F.lit("+ all their proofs").alias("text"), F.lit(False).alias("extra"),
+        place(F.array(F.lit(0))))
     picked = selection.filter("kind = 'section'").select(*keys, "item")
     inside = covered_sections(entries, picked, keys)
     within = (
@@ -323,13 +329,15 @@ def selection_items(selection: DataFrame, entries: DataFrame, nodes: DataFrame,
         .join(selection.filter("kind = 'statement'").select(*keys, "item").distinct(), [*keys, "item"], "left_anti")
         .join(selection.filter("kind = 'proofs'").select(*keys).distinct(), keys, "left_anti")
         .select(*keys, F.lit(2).alias("part"), F.lit("proof").alias("kind"), "item",
-                F.concat(F.lit("+ proof of "), F.col("item")).alias("text"), K.is_extra(F.col("section")).alias("extra"))
+                F.concat(F.lit("+ proof of "), F.col("item")).alias("text"), K.is_extra(F.col("section")).alias("extra"), "__place")
     )
     earlier = selection.filter("kind = 'earlier'").select(
         *keys, F.lit(3).alias("part"), "kind", "item", F.concat(F.lit("Earlier: "), F.col("item")).alias("text"),
-        F.lit(False).alias("extra"))
+        F.lit(False).alias("extra"), place(F.array(F.lit(0))))
     lines = reduce(DataFrame.unionByName, [sections, singles, every, within, earlier])
     ticked = off.select(*keys, "kind", "item").distinct().withColumn("__off", F.lit(True))
-    return lines.join(ticked, [*keys, "kind", "item"], "left").select(
-        *keys, (F.col("extra").cast("int") + F.when(F.col("part") == 3, 2).otherwise(0)).alias("block"), "part",
-        "kind", "item", "text", F.coalesce("__off", F.lit(False)).alias("off"))
+    block = F.coalesce(F.col("extra").cast("int"), F.lit(0)) + F.when(F.col("part") == 3, 2).otherwise(0)
+    listed = lines.join(ticked, [*keys, "kind", "item"], "left").select(
+        *keys, block.alias("block"), "part", "kind", "item", "text", F.coalesce("__off", F.lit(False)).alias("off"),
+        F.coalesce("__place", F.struct(F.array(F.lit(2**31 - 1)).alias("section"), F.lit(0).alias("page"), F.lit(0).cast("bigint").alias("pos"))).alias("__place"))
+    return scan(listed, keys, ["block", "part", "__place", "item"], ord=row_number()).drop("__place")

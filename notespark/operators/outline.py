@@ -16,33 +16,24 @@ MAX_ROWS, MAX_CHUNK = 10, 15_000
 def outline_keys(outline_raw: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Positional keys ("2.1.3") for (seq, level, title, page) rows.
 
-    A level may be at most one deeper than the one before: clamped = min(level, previous + 1),
-    which is a running minimum of ``level - position``. A counter of a level is a running
-    count minus its value at the last node of a higher level. Untitled nodes count but are
-    not returned.
+    A level may be at most one deeper than the one before, and is 1 at least. A fold carries the
+    counters down to the last node's level: a node counts up the one of its own level and drops
+    the deeper ones. Untitled nodes count but are not returned.
     """
     keys = list(keys)
-    raw = outline_raw.withColumn("title", clean_title(F.col("title")))
-    sizes = key_sizes(raw, keys)
-    placed = scan(raw, keys, ["seq"], sizes, __i=row_number())
-    slack = F.greatest(F.col("level"), F.lit(1)) - F.col("__i")
-    placed = scan(placed, keys, ["seq"], sizes, __low=running_min(slack))
-    placed = placed.withColumn("level", (F.col("__i") + F.least(F.col("__low"), F.lit(0))).cast("int"))
-
-    deepest = placed.agg(F.max("level")).first()[0] or 0
-    depths = range(1, deepest + 1)
-    placed = scan(placed, keys, ["seq"], sizes, **{
-        f"__n{d}": running_sum((F.col("level") == d).cast("bigint")) for d in depths})
-    placed = scan(placed, keys, ["seq"], sizes, **{
-        f"__b{d}": last_value(F.when(F.col("level") < d, F.col(f"__n{d}"))) for d in depths})
-    counters = F.array(*[
-        (F.col(f"__n{d}") - F.coalesce(F.col(f"__b{d}"), F.lit(0))).cast("int") for d in depths
-    ]) if deepest else F.array().cast("array<int>")
-    path = F.slice(counters, F.lit(1), F.col("level"))
+
+    def step(counters: Column, x: Column) -> Column:
+        level = F.least(F.greatest(x["__level"], F.lit(1)), F.size(counters) + 1)
+        path = F.concat(F.slice(counters, 1, level - 1), F.array(F.coalesce(F.get(counters, level - 1), F.lit(0)) + 1))
+        return F.struct(path.alias("s"), path.alias("o"))
+
+    raw = outline_raw.withColumns({"title": clean_title(F.col("title")), "__level": F.col("level").cast("int")})
+    placed = fold(raw, keys, ["seq"], ["__level"], "__path", F.array().cast("array<int>"), step)
+    path = F.col("__path")
     rest = [c for c in outline_raw.columns if c not in (*keys, "seq", "level", "title")]
     return placed.filter("title <> ''").select(
         *keys, "seq", F.array_join(path.cast("array<string>"), ".").alias("key"),
-        path.alias("key_path"), "level", "title", *rest)
+        path.alias("key_path"), F.size(path).alias("level"), "title", *rest)
 
 
 def assign_sections(entries: DataFrame, nodes: DataFrame) -> DataFrame:

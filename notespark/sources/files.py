@@ -68,9 +68,14 @@ def natural_order(files: DataFrame) -> DataFrame:
     return files.withColumn("natural_key", X.natural_key(X.file_stem(F.col("name"))))
 
 
-def file_catalog(matched: DataFrame, active_semester: str, past_scripts: bool = True) -> DataFrame:
+def file_catalog(matched: DataFrame, active_semester: str, past_scripts: bool = True, others: DataFrame | None = None) -> DataFrame:
     """Scripts and decks of the active courses, the last sheet of each, and the scripts of past
-    courses if wanted. ``matched``: (semester, course, category, path, name, mtime)."""
+    courses if wanted. ``matched``: (semester, course, category, path, name, mtime).
+
+    ``others`` (semester, path, name, mtime) are scripts that no rule gives to a course, such as
+    books: each is listed once by path, with no course, unless it is a course's own script, also
+    one that is not listed. Of rows of one path the first by semester (newest), name and time counts.
+    """
     keyed = natural_order(matched)
     now = F.col("semester") == active_semester
     keep = keyed.filter((now & (F.col("category") != "blaetter")) | (~now & (F.col("category") == SCRIPT) & F.lit(past_scripts)))
@@ -78,7 +83,14 @@ def file_catalog(matched: DataFrame, active_semester: str, past_scripts: bool =
     rest = [c for c in keyed.columns if c not in slot]
     last = keyed.filter(now & (F.col("category") == "blaetter")).groupBy(*slot).agg(
         F.max_by(F.struct(*rest), F.struct("natural_key", "mtime", "path")).alias("r")).select(*slot, *[F.col(f"r.{c}").alias(c) for c in rest])
-    return keep.select(*keyed.columns).unionByName(last.select(*keyed.columns))
+    catalog = keep.select(*keyed.columns).unionByName(last.select(*keyed.columns))
+    if others is None:
+        return catalog
+    own = matched.filter(F.col("category") == SCRIPT).select("path").distinct()
+    fields = [c for c in others.columns if c != "path"]
+    once = others.join(own, "path", "left_anti").groupBy("path").agg(
+        F.max_by(F.struct(*fields), F.struct(F.coalesce("semester", F.lit("")), "name", "mtime")).alias("r")).select("path", *[F.col(f"r.{c}").alias(c) for c in fields])
+    return catalog.unionByName(natural_order(once.withColumn("category", F.lit(SCRIPT))), allowMissingColumns=True)
 
 
 def script_catalog(found: DataFrame, active_semester: str) -> DataFrame:

@@ -334,6 +334,20 @@ def q_selection_items(spark, sf_dir):
     return S.selection_items(s, e, nodes, _off(s)).select("course", "kind", "item", "text", "off")
 
 
+@q(f"""WITH {ENTRIES}, items AS (
+  SELECT sel.course, kind, item, CASE kind WHEN 'section' THEN 0 WHEN 'statement' THEN 1 WHEN 'proofs' THEN 2 ELSE 3 END AS part,
+    CASE WHEN kind = 'section' THEN [CAST(item AS INT)] WHEN kind = 'statement' AND st.id IS NULL THEN [2147483647] WHEN kind = 'statement'
+      THEN list_transform(string_split(section, '.'), lambda x: CAST(x AS INT)) ELSE [0] END AS place, coalesce(page, 0) AS page, coalesce(pos, 0) AS pos
+  FROM sel LEFT JOIN st ON st.course = sel.course AND st.id = item AND kind = 'statement' WHERE kind <> 'proof')
+SELECT course, kind, item, row_number() OVER (PARTITION BY course ORDER BY part, place, page, pos, item) AS ord FROM items""")
+def q_selection_order(spark, sf_dir):
+    """The place of every line of the selection."""
+    e = entries(spark, sf_dir)
+    s = selection(e)
+    nodes = e.select("course", K.root(F.col("section")).alias("key")).distinct().withColumn("title", F.lit(""))
+    return S.selection_items(s, e, nodes, _off(s)).select("course", "kind", "item", "ord")
+
+
 @q(f"""WITH {ENTRIES}, nodes AS (SELECT course, unnest([split_part(section, '.', 1), section]) AS key FROM entries)
 SELECT DISTINCT course, key FROM nodes WHERE EXISTS (SELECT 1 FROM plain WHERE plain.course = nodes.course AND (section = key OR starts_with(section, key || '.')))""")
 def q_live_nodes(spark, sf_dir):

@@ -161,6 +161,32 @@ def q_page_of_task(spark, sf_dir):
     return J.page_of_task(pages, docs).select(F.col("sheet_id").alias("doc_id"), "page")
 
 
+@q(r"""
+WITH l AS (SELECT doc_id AS sheet_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS page, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT sheet_id, page AS number, trim(line) AS first FROM l WHERE page % 4 = 3 AND regexp_matches(line, '^[!-~ ]*$') AND trim(line) <> ''),
+n AS (SELECT sheet_id, number, left(first, 60) AS n0, array_to_string(string_split(regexp_replace(first, ' +', ' ', 'g'), ' ')[1:3], ' ') AS n1 FROM t)
+SELECT n.sheet_id, number, coalesce(min(page) FILTER (WHERE contains(line, n0)), min(page) FILTER (WHERE contains(line, n1))) AS page
+FROM n JOIN l USING (sheet_id) GROUP BY ALL""")
+def q_page_of_line(spark, sf_dir):
+    """Every fourth line is a task; the lines of its document are the pages it is looked for on."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet_id"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select(
+        "sheet_id", (F.col("p") + 1).alias("page"), "text")
+    plain = r"^[!-~ ]*$"
+    tasks = pages.filter(F.col("text").rlike(plain) & (F.trim("text") != "") & (F.col("page") % 4 == 3)).select("sheet_id", F.col("page").alias("number"), "text")
+    return J.page_of_task(pages, tasks).select("sheet_id", "number", "page")
+
+
+@q("""WITH nb AS (SELECT o_custkey AS course, o_orderkey AS path, o_orderkey % 5 AS number, o_orderdate AS mtime FROM orders),
+b AS (SELECT course, number, arg_max(path, (mtime, path)) AS path FROM nb GROUP BY ALL)
+SELECT c_custkey AS course, k AS sheet_id, path FROM customer CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k) LEFT JOIN b ON course = c_custkey AND number = k""")
+def q_notebook_for(spark, sf_dir):
+    """The newest order of a customer that bears a sheet's number as its notebook."""
+    notebooks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("course"), F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"),
+                                                      F.concat(F.lit("7 notes "), (F.col("o_orderkey") % 5).cast("string")).alias("stem"))
+    sheets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("course"), F.explode(F.array(*[F.lit(k) for k in range(6)])).alias("sheet_id"))
+    return J.notebook_for(sheets.withColumn("sheet_number", F.col("sheet_id")), notebooks)
+
+
 @q("""
 SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN s.o_orderkey IS NULL THEN 'delete' WHEN t.o_orderkey IS NULL OR t.m < s.o_orderdate OR t.f < 6 THEN 'read' ELSE 'skip' END AS action
 FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') s FULL JOIN
@@ -446,7 +472,7 @@ def q_selection_lookup(spark, sf_dir):
 WITH s AS (SELECT o_custkey AS course, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS sheet_id FROM orders GROUP BY o_custkey),
 p AS (SELECT DISTINCT l_orderkey AS sheet_id, l_linenumber AS task, 'statement' AS kind, CAST(l_partkey AS VARCHAR) AS item FROM lineitem),
 h AS (SELECT DISTINCT s.course, s.sheet_id FROM s JOIN p USING (sheet_id) WHERE task = 1)
-SELECT * FROM p WHERE NOT (task = 1 AND sheet_id IN (SELECT sheet_id FROM h)) UNION ALL SELECT sheet_id, 1, 'section', CAST(course AS VARCHAR) FROM h
+SELECT p.* FROM p LEFT JOIN (SELECT DISTINCT sheet_id AS gone FROM h) g ON task = 1 AND sheet_id = gone WHERE gone IS NULL UNION ALL SELECT sheet_id, 1, 'section', CAST(course AS VARCHAR) FROM h
 """)
 def q_remember_selection(spark, sf_dir):
     """The edited selection of the current task replaces the planned one."""

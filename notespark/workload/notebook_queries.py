@@ -119,6 +119,20 @@ def q_compose_stretches(spark, sf_dir):
     return M.compose_stretches(lines, M.stretches(marks, pages, strokes)).select("nb", "task", "text")
 
 
+@q("""WITH s AS (SELECT user_id AS nb, event_id AS stretch, event_id % 3 AS task, CASE WHEN event_id % 4 > 0 THEN substr('abc', CAST(event_id % 4 AS INTEGER), 1) ELSE '' END AS part FROM events),
+a AS (SELECT DISTINCT user_id AS nb, task, CASE WHEN (user_id + task) % 4 > 0 THEN substr('abc', CAST((user_id + task) % 4 AS INTEGER), 1) END AS asked FROM events CROSS JOIN (SELECT unnest([0, 1]) AS task))
+SELECT nb, stretch, s.task, part FROM s JOIN a USING (nb, task) WHERE asked IS NULL OR part = '' OR part <= asked""")
+def q_up_to_part(spark, sf_dir):
+    """What was written for the part that is asked and the parts before it."""
+    letter = lambda c: F.when(c % 4 > 0, F.substring(F.lit("abc"), (c % 4).cast("int"), F.lit(1)))
+    e = table(spark, sf_dir, "events")
+    slices = e.select(F.col("user_id").alias("nb"), F.col("event_id").alias("stretch"), (F.col("event_id") % 3).alias("task"),
+                      F.coalesce(letter(F.col("event_id")), F.lit("")).alias("part"))
+    asked = e.select(F.col("user_id").alias("nb")).distinct().select("nb", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("task"))
+    asked = asked.withColumn("asked_part", letter(F.col("nb") + F.col("task")))
+    return M.up_to_part(slices, asked).select("nb", "stretch", "task", "part")
+
+
 @q(f"""WITH {SLICES}, t AS (SELECT DISTINCT user_id AS nb, unnest([1, 2, 3]) AS task FROM events UNION ALL SELECT -1, 1),
 x AS (SELECT DISTINCT nb, stretch, task FROM cl), l AS (SELECT li.nb, x.task, count(*) AS lines FROM li JOIN x USING (nb, stretch) GROUP BY ALL),
 pages AS (SELECT nb, task, string_agg(DISTINCT CAST(page + 1 AS VARCHAR), ',' ORDER BY CAST(page + 1 AS VARCHAR)) AS pages FROM cl GROUP BY ALL)

@@ -124,14 +124,15 @@ def q_task_listing(spark, sf_dir):
     return got.select("sheet_id", "title", "text", "effort", F.col("page").cast("bigint").alias("page"), F.size("parts").alias("parts"))
 
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-
-
-@q(f"SELECT unnest({[t + '.parquet' for t in TABLES]!r}) AS name")
+@q("SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
 def q_scan_files(spark, sf_dir):
-    """The tables of the folder, by pattern and without their contents; a table in several files is named by its folder."""
-    files = S.scan_files(spark, sf_dir, ["*.PARQUET"])
-    return files.select(F.regexp_extract("path", r"([^/]+\.parquet)(?:/[^/]+)?$", 1).alias("name")).distinct()
+    """The documents are laid out as a tree of files by source and language; the files are found by pattern, without their contents."""
+    root = os.path.join(staging_dir(spark), f"tree-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").filter("source is not null and lang is not null")
+    docs.select("doc_id", "source", "lang").write.partitionBy("source", "lang").parquet(root)
+    files = S.scan_files(spark, root, ["PART-*.Parquet"]).filter("length > 0")
+    at = lambda part: F.regexp_extract("path", rf"/{part}=([^/]+)/", 1).alias(part)
+    return files.select(at("source"), at("lang")).distinct()
 
 
 @q("SELECT source AS course, doc_id, lang, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
@@ -201,6 +202,18 @@ def q_search_chosen(spark, sf_dir):
     return P.search(docs, F.lit(" LICENSE "), docs.filter("id % 3 = 0").select("id"), earlier).select("id", "part")
 
 
+@q(r"""
+WITH c AS (SELECT doc_id, source, text FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id AS id, 'chosen' AS part FROM c WHERE strpos(lower(doc_id || ' ' || source || ' ' || text), 'the') > 0
+UNION ALL SELECT item_id, 'earlier' FROM benchmark WHERE item_id % 2 = 1 AND strpos(lower(item_id || '  ' || text), 'the') > 0
+""")
+def q_search_chosen_earlier(spark, sf_dir):
+    """Search among what is chosen, of the earlier tasks as well."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), "text")
+    earlier = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("name"), "text")
+    return P.search(docs, F.lit("The"), docs.filter("id % 3 = 0").select("id"), earlier, earlier.filter("id % 2 = 1").select("id")).select("id", "part")
+
+
 @q(r"""
 WITH h AS (SELECT doc_id, unnest([
   {'n': 0, 'kind': 'numbered', 'type': 'Satz', 'number': '1.' || (doc_id % 50), 'name': 'A' || chr(10) || 'Lemma 2.1 b', 'ref': NULL},
