@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import discard, staged
 from .chains import split_hot
 
+# --- Fixed values ----------------------------------------------------------------------
 DEPENDS_THRESHOLD = 0.5
+NO_DEPENDENCIES = "no dependencies"
+# ---------------------------------------------------------------------------------------
 #: Nodes of a component up to which a table of who reaches whom is held: 2 bits a pair, 64 MB.
 CLOSURE_NODES = 16_384
 
@@ -264,11 +267,15 @@ def after(edges: DataFrame, keys: list[str]) -> DataFrame:
         F.col("task").cast("string"), F.lit(" builds on "), F.array_join(F.col("after").cast("array<string>"), ", ")))
 
 
-def dependency_text(edges: DataFrame, keys: list[str], sep: str = " → ") -> DataFrame:
-    """(keys, text): "1 → 2, 2 → 3" per sheet."""
+def dependency_text(edges: DataFrame, keys: list[str], sep: str = " → ", sheets: DataFrame | None = None) -> DataFrame:
+    """(keys, text): "1 → 2, 2 → 3" per sheet; with ``sheets`` (keys) also those without edges, which say so. Null keys are keys."""
     pair = F.concat(F.col("a").cast("string"), F.lit(sep), F.col("b").cast("string"))
     ordered = F.array_sort(F.collect_set(F.struct("a", "b", pair.alias("t"))))
-    return edges.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ", ").alias("text"))
+    texts = edges.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ", ").alias("text"))
+    if sheets is None:
+        return texts
+    bare = sheets.select(*keys).distinct().withColumn("text", F.lit(None).cast("string"))
+    return texts.unionByName(bare).groupBy(*keys).agg(F.coalesce(F.max("text"), F.lit(NO_DEPENDENCIES)).alias("text"))
 
 
 def question_load(tasks: DataFrame, keys: list[str]) -> DataFrame:

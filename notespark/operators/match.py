@@ -21,6 +21,8 @@ NOTES_STATEMENT = (
 )
 CLIP_MARGIN = 6
 # ---------------------------------------------------------------------------------------
+#: A pair is looked at only if it shares one in so many of a fragment's trigrams among the rarest ones.
+SHARED_PART = 8
 
 
 def match_candidates(tasks: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -49,11 +51,12 @@ def classify_fragments(fragments: DataFrame, cands: DataFrame, min_score: float
     scope. ``fragments``: (scope, frag_id, text); ``cands``: as ``match_candidates``.
 
     score = containment * (0.5 + 0.5 * coverage) plus bonuses, containment being the share of
-    the fragment's trigrams in the candidate. Without a bonus a score of ``min_score`` needs a
-    containment of at least that, so such a pair shares one of the n - ceil(min_score * n) + 1
-    trigrams of the fragment that are rarest among the scope's candidates: only those are
-    joined, never the frequent ones. Pairs with a bonus come from equi joins on the marker.
-    The pairs found are then scored on their full trigram sets.
+    the fragment's n trigrams in the candidate, coverage the share of the candidate's m. Without a
+    bonus a score of ``min_score`` needs so many trigrams in common that depends on n and m alone, c
+    say. Such a pair shares at least l of the n - c + l trigrams of the fragment that are rarest
+    among the scope's candidates, for every l: only those are joined, and pairs that share
+    fewer than l = n / SHARED_PART of them are out. Pairs with a bonus come from equi joins on the marker.
+    What is left is scored on the full trigram sets.
     """
     head = X.strip(F.col("text"))
     opening = F.substring(head, 1, HEAD_CHARS)
@@ -67,17 +70,23 @@ def classify_fragments(fragments: DataFrame, cands: DataFrame, min_score: float
                      X.trigrams(F.col("text")).alias("cg")).filter(F.size("cg") > 0)
     c = staged(c, "candidates")
 
-    postings = c.select("scope", "cand_ord", F.explode("cg").alias("gram"))
+    postings = c.select("scope", "cand_ord", F.size("cg").alias("m"), F.explode("cg").alias("gram"))
     spread = postings.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("df"))
     used = f.select("scope", "frag_id", F.size("fg").alias("n"), F.explode("fg").alias("gram")).join(
         spread, ["scope", "gram"], "left")
     # Per fragment its trigrams by rarity; a fragment is one row, so its list is short.
     by_rarity = used.groupBy("scope", "frag_id", "n").agg(F.array_sort(F.collect_list(
         F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("gs"))
-    keep = F.col("n") - F.ceil(F.lit(min_score) * F.col("n")).cast("int") + 1
-    prefix = by_rarity.select("scope", "frag_id", F.explode(F.slice("gs", F.lit(1), keep)).alias("g")).filter(
-        "g.df > 0").select("scope", "frag_id", F.col("g.gram").alias("gram"))
-    pairs = prefix.join(postings, ["scope", "gram"]).select("scope", "frag_id", "cand_ord")
+    n, m = F.col("n"), F.col("m")
+    least = F.ceil(F.least(n / SHARED_PART, min_score * n)).cast("int")
+    # The smallest candidates that will do have min_score * n trigrams, all of them in common.
+    keep = n - F.ceil(min_score * n - 1e-9).cast("int") + least
+    prefix = by_rarity.select("scope", "frag_id", "n", F.posexplode(F.slice("gs", F.lit(1), keep)).alias("at", "g")).filter(
+        "g.df > 0").select("scope", "frag_id", "n", "at", F.col("g.gram").alias("gram"))
+    needed = F.ceil((F.sqrt(m * m + 8 * min_score * n * m) - m) / 2 - 1e-9).cast("int")
+    near = prefix.join(postings, ["scope", "gram"]).filter((needed <= m) & (F.col("at") < n - needed + least))
+    pairs = near.groupBy("scope", "frag_id", "cand_ord", "n").agg(F.count(F.lit(1)).alias("shared")).filter(
+        F.col("shared") >= least).select("scope", "frag_id", "cand_ord")
     by_number = f.select("scope", "frag_id", F.col("f_number").alias("number")).join(
         c.select("scope", "cand_ord", "number"), ["scope", "number"]).select("scope", "frag_id", "cand_ord")
     by_task = f.select("scope", "frag_id", F.col("f_task").alias("task")).join(

@@ -43,6 +43,32 @@ def q_fuzzy_classify(spark, sf_dir):
     return found.select("scope", "frag_id", "task", F.round("score", 9).alias("score"))
 
 
+@q(rf"""WITH fr AS (SELECT conv_id AS scope, turn * 1000 + k AS frag_id, CASE k % 3 WHEN 0 THEN '(' || (turn % 4 + 1) || '.1) ' || line WHEN 1 THEN 'Aufgabe ' || (turn % 3 + 1) || ' ' || line ELSE line END AS text FROM (
+   SELECT conv_id, turn, unnest(generate_series(1, len(x))) AS k, unnest(x) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x FROM conversations))),
+f0 AS (SELECT *, {FOLD.format('text')} AS q, nullif(regexp_extract(left(trim(text), 120), '\((\d+(?:\.\d+)+)\)', 1), '') AS f_number,
+         TRY_CAST(nullif(regexp_extract(trim(text), '^\W{{0,3}}Aufgabe\s+(\d+)\b', 1), '') AS BIGINT) AS f_task FROM fr),
+f AS (SELECT *, {GRAMS.format('q')} AS fg FROM f0 WHERE NOT regexp_matches(trim(text), '^\W{{0,3}}(Satz|Definition|Lemma|Korollar|Proposition|Bemerkung|Beispiel|Algorithmus|Theorem|Corollary|Proof|Beweis|Remark)\b')),
+c0 AS (SELECT conv_id AS scope, turn AS cand_ord, turn + 1 AS task, (turn % 4 + 1) || '.1' AS number, CASE WHEN turn % 3 = 0 THEN 'a' ELSE '' END AS part, {FOLD.format('text')} AS q FROM conversations WHERE role = 'user'),
+c AS (SELECT *, {GRAMS.format('q')} AS cg FROM c0),
+p AS (SELECT f.scope, frag_id, cand_ord, task, part, f_number, f_task, number, len(list_intersect(fg, cg)) AS k, len(fg) AS n, len(cg) AS m FROM f JOIN c USING (scope) WHERE len(fg) >= 15 AND len(cg) > 0),
+s AS (SELECT *, (k / n) * (0.5::DOUBLE + 0.5::DOUBLE * (k / m)) + CASE WHEN f_number = number THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN f_task = task THEN 0.3::DOUBLE ELSE 0 END
+        - CASE WHEN (f_number IS NOT NULL OR f_task IS NOT NULL) AND part <> '' THEN 0.05::DOUBLE ELSE 0 END AS score FROM p)
+SELECT scope, frag_id, arg_min({{'t': task, 'p': part}}, (-score, cand_ord)).t AS task, arg_min({{'t': task, 'p': part}}, (-score, cand_ord)).p AS part, round(max(score), 9) AS score
+FROM s WHERE score >= 0.35 GROUP BY ALL""")
+def q_fuzzy_markers(spark, sf_dir):
+    """The same with markers: an exercise's number or the name of a task in front of a line, and candidates that are parts."""
+    turns = table(spark, sf_dir, "conversations")
+    text = lambda c: c.cast("string")
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("k", F.col("k") + 1)
+    marked = F.when(F.col("k") % 3 == 0, F.concat(F.lit("("), text(F.col("turn") % 4 + 1), F.lit(".1) "), "line")).when(
+        F.col("k") % 3 == 1, F.concat(F.lit("Aufgabe "), text(F.col("turn") % 3 + 1), F.lit(" "), "line")).otherwise(F.col("line"))
+    fragments = lines.select(F.col("conv_id").alias("scope"), (F.col("turn") * 1000 + F.col("k")).alias("frag_id"), marked.alias("text"))
+    cands = turns.filter("role = 'user'").select(
+        F.col("conv_id").alias("scope"), F.col("turn").alias("cand_ord"), (F.col("turn") + 1).alias("task"), F.when(F.col("turn") % 3 == 0, "a").otherwise("").alias("part"),
+        F.concat(text(F.col("turn") % 4 + 1), F.lit(".1")).alias("number"), "text")
+    return M.classify_fragments(fragments, cands).select("scope", "frag_id", "task", "part", F.round("score", 9).alias("score"))
+
+
 @q(f"""WITH {MATCHES} SELECT fr.scope, fr.frag_id, task, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 80) AS text FROM fr LEFT JOIN m USING (scope, frag_id)""")
 def q_match_audit(spark, sf_dir):
     """Every line with what it was taken for."""
