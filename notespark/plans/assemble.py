@@ -58,6 +58,8 @@ SOME_PROOFS = ", proofs only for "
 NO_PROOFS = ", proofs omitted"
 ASKED_HEAD = "# Asked now: part "
 ATTEMPT_HEAD = "# My attempt so far\n"
+SHEET, DUE, COURSE_HEAD = "\nSheet ", ", due: ", "\n\n# Course: "
+TASK, EXERCISE, FROM_NOTES = "# Task ", "\n## Exercise ", " from the lecture notes"
 # ---------------------------------------------------------------------------------------
 REF = ["task_ref"]
 
@@ -155,14 +157,14 @@ def build_documents(tasks: DataFrame, context: DataFrame, sections: DataFrame, e
     opening = instruction(F.col("asked_part.label"), F.coalesce("definitions", no), F.coalesce("results", no),
                           F.coalesce("has_past", no), F.col("attempt") != "")
     due = F.when(F.coalesce("discussion_date", F.lit("")) != "", F.concat(
-        F.lit("\nSheet "), F.coalesce(F.col("sheet_number").cast("string"), F.lit("?")), F.lit(", due: "), F.col("discussion_date"))).otherwise("")
-    head = F.concat(F.lit("# Task "), F.col("number").cast("string"),
+        F.lit(SHEET), F.coalesce(F.col("sheet_number").cast("string"), F.lit("?")), F.lit(DUE), F.col("discussion_date"))).otherwise("")
+    head = F.concat(F.lit(TASK), F.col("number").cast("string"),
                     F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(": "), F.col("title"))).otherwise(""))
     exercises = F.array_join(F.transform("found", lambda e: F.concat(
-        F.lit("\n## Exercise "), e["number"], F.lit(" from the lecture notes"),
+        F.lit(EXERCISE), e["number"], F.lit(FROM_NOTES),
         F.when(F.coalesce(e["title"], F.lit("")) != "", F.concat(F.lit(": "), e["title"])).otherwise(""),
         F.lit("\n"), e["text"], F.lit("\n"))), "")
-    task_text = F.concat(opening, F.lit("\n\n# Course: "), F.col("course_name"), due, F.lit("\n\n"), head, F.lit("\n"),
+    task_text = F.concat(opening, F.lit(COURSE_HEAD), F.col("course_name"), due, F.lit("\n\n"), head, F.lit("\n"),
                          F.col("text"), F.lit("\n"), exercises)
 
     def rows(df: DataFrame, block: int, source: Column, place: Column, text: Column) -> DataFrame:

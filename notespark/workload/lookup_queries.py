@@ -358,6 +358,15 @@ def q_dependency_text(spark, sf_dir):
     return G.dependency_text(e, ["l_orderkey"])
 
 
+@q("""SELECT o_orderkey AS l_orderkey, coalesce(text, 'no dependencies') AS text FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT pair, ', ' ORDER BY pair) AS text FROM (
+  SELECT l_orderkey, lpad(CAST(l_linenumber AS VARCHAR), 2, ' ') || ' → ' || lpad(CAST(l_suppkey % 10 AS VARCHAR), 2, ' ') AS pair FROM lineitem WHERE l_quantity > 40) GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+def q_dependencies_or_none(spark, sf_dir):
+    """The large lines of every order as edges, and the orders that have none."""
+    two = lambda c: F.lpad(c.cast("string"), 2, " ")
+    e = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", two(F.col("l_linenumber")).alias("a"), two(F.col("l_suppkey") % 10).alias("b"))
+    return G.dependency_text(e, ["l_orderkey"], sheets=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")))
+
+
 @q("SELECT o_custkey, count(*) AS tasks, count(*) * (count(*) - 1) AS pairs FROM orders GROUP BY o_custkey")
 def q_question_load(spark, sf_dir):
     """How many ordered pairs a sheet asks about, without forming them."""
