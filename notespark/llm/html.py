@@ -102,6 +102,8 @@ class Lines(HTMLParser):
                 place = AROUND if firm else LOOSE if loose else ARTICLE if main else place
             elif firm:
                 place = AROUND
+        if tag not in BLOCK and place == AROUND != self.state[1]:
+            hidden, place = True, self.state[1]  # what is left out inside a line does not break the line
         if tag not in BLOCK and place != self.state[1]:
             self.flush()
         self.open.append((tag, hidden, place))
@@ -170,17 +172,23 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
+#: A page that differs from its neighbour in less than one in so many characters is a copy of it.
+COPY_PART = 50
+
+
 def main_text(lines: list[tuple[str, int]], other: list[int]) -> str:
     """What stays of the lines that markup leaves of a page: not those it shares with the nearest page.
 
     Lines inside a marked article are never shared furniture: neighbours quote and repeat each
-    other. A page without a marked article whose neighbour shares over half of its text is a copy
-    of it, and keeps those lines.
+    other. A page without a marked article is a copy of its neighbour, and keeps those lines, if
+    they are all it has but for one character in COPY_PART: however much furniture there is, an
+    article of its own is more.
     """
     shared = set(common_subsequence([line_hash(t) for t, _ in lines], other))
     if any(place == ARTICLE for _, place in lines):
         return "\n".join(t for t, place in lines if place == ARTICLE)
-    if 2 * sum(len(lines[i][0]) for i in shared) > sum(len(t) for t, _ in lines):
+    own = sum(len(t) for i, (t, _) in enumerate(lines) if i not in shared)
+    if COPY_PART * own < sum(len(t) for t, _ in lines):
         shared = set()
     return "\n".join(t for i, (t, _) in enumerate(lines) if i not in shared)
 
