@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ RECALL = 0.98
 SPREAD_SEARCHED, SPREAD = 2.7, 2.2
 #: Fingerprints expanded at a time, and variants that one matching group holds on average: bounds on a task's memory.
 EXPAND_ROWS, GROUP_VARIANTS = 2048, 2_000_000
+#: Times as many hubs in each round.
+GROWTH = 8
 #: Odd numbers: each makes another 64 bits of a shingle's hash.
 _SALTS = np.random.default_rng(7).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
 #: Order in which pieces take their bits.
@@ -124,6 +127,28 @@ def _open(places: np.ndarray, close: np.ndarray, number: np.ndarray) -> Iterator
             yield places[ends[i] - sizes[i]:ends[i]]
 
 
+def _tied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star per connected component of the links (a, b), around its member with most links: one link a member says as much."""
+    if not len(a):
+        return a, b
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    degree = np.bincount(ends, minlength=len(nodes))
+    order = np.lexsort((np.arange(len(nodes)), -degree, label))
+    first = np.concatenate([[True], label[order][1:] != label[order][:-1]])
+    root = order[first][np.cumsum(first) - 1]
+    return nodes[root[~first]], nodes[order[~first]]
+
+
 def _expand(bits: int, pieces: int, groups: int, most: int):
     """Fingerprints to packed variants, a row per matching group, and to links within the batch.
 
@@ -155,7 +180,7 @@ def _expand(bits: int, pieces: int, groups: int, most: int):
                         stays[left[near]] = False
                         links.append(owner[left[0]] * len(keys) + owner[left[near]])
                         left = left[1:][~near[1:]]
-                a, b = np.divmod(np.unique(np.concatenate(links)), len(keys))
+                a, b = _tied(*np.divmod(np.unique(np.concatenate(links)), len(keys)))
                 if len(a):
                     yield pd.DataFrame({"grp": -1, "buckets": None, "owners": None, "keys": keys[a].tobytes(), "prints": keys[b].tobytes()}, index=[0])
                 bucket, owner, marked = bucket[stays], owner[stays], marked[stays]
@@ -172,7 +197,7 @@ def _expand(bits: int, pieces: int, groups: int, most: int):
 
 
 def _meet(most: int):
-    """Links between the members of one matching group's buckets: a forest of those that are close enough, bucket by bucket."""
+    """Ties between the members of one matching group's buckets that are close enough, a star for each set of tied ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["grp"].iat[0] < 0:
@@ -199,7 +224,7 @@ def _meet(most: int):
                 links.append(owner[at] * len(keys) + owner[left[near]])
                 front.extend(left[near].tolist())
                 left = left[~near]
-        a, b = np.divmod(np.unique(np.concatenate(links)), max(1, len(keys)))
+        a, b = _tied(*np.divmod(np.unique(np.concatenate(links)), max(1, len(keys))))
         return pd.DataFrame({"a": keys[a], "b": keys[b]})
 
     return run
@@ -224,65 +249,61 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose ``sets(key, hashes)`` reach ``least``."""
+def _differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, WORDS)),
+               F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _verified(least: float) -> Callable[[Column, Column], Column]:
+    """Whether two sets of hashes, given as bytes, reach ``least``."""
 
     @F.pandas_udf("boolean")
     def reaches(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(one, two)], dtype=bool)
 
-    of = lambda c, name: sets.select(F.col("key").alias(c), F.col("hashes").alias(name))
-    return staged(pairs.join(of("a", "one"), "a").join(of("b", "two"), "b").filter(reaches("one", "two")).select("a", "b"), "links")
-
-
-def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, WORDS)),
-               F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    return reaches
 
 
-def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(key, component) of ``members(bucket, key, weight, words)``: ties those of a bucket together that reach ``least``.
+def _links(members: DataFrame, least: float) -> DataFrame:
+    """(key, component) of ``members(bucket, key, weight, words, hashes)``: ties those of a bucket together that reach ``least``.
 
-    In each round some members of a bucket, the hubs, are compared with all that they are not
-    tied to and whose fingerprints are within the limit; then they leave it, as all their pairs
+    In each round some members of a bucket, the hubs, are compared with all that they are not yet
+    known to be tied to and whose fingerprints are within the limit; then they leave it, as all their pairs
     are settled. First it is the weightiest member, which most copies are tied to; later hubs are
-    those outside the bucket's largest tie, four times as many each round. A bucket is done when all
-    its members are tied together or those outside have been hubs, so no pair is left out.
+    those outside the bucket's largest tie, GROWTH times as many each round. A bucket is done when all
+    its members are tied together or those outside have been hubs, so no pair is left out. The
+    labels of a round take one step along its links, to spare comparisons; the components are those of all links.
     """
-    live, labels, turn = staged(members.withColumn("component", F.col("key")), "live"), None, 0
-    done = [live.select("key").withColumn("component", F.col("key"))]
+    live, links, turn, reaches = staged(members.withColumn("component", F.col("key")), "live"), [], 0, _verified(least)
+    hub = F.struct("key", "component", "words", "hashes")
     while True:
         if turn == 0:
-            hubs = live.groupBy("bucket").agg(F.max_by(F.struct("key", "component", "words"), F.struct("weight", "key")).alias("hub"))
+            hubs = live.groupBy("bucket").agg(F.max_by(hub, F.struct("weight", "key")).alias("hub"))
         else:
             ties = live.groupBy("bucket", "component").count()
             main = ties.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            share = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(4**turn))
-            hubs = live.join(main, "bucket").filter("component != main").groupBy("bucket", share.alias("share")).agg(
-                F.min_by(F.struct("key", "component", "words"), "key").alias("hub"))
-        hubs = staged(hubs.select("bucket", F.col("hub.key").alias("hub"), F.col("hub.component").alias("tie"), F.col("hub.words").alias("own")), "hubs")
-        met = live.join(hubs, "bucket").filter((F.col("component") != F.col("tie")) & (_differing("words", "own") <= limit(least, WORDS, SPREAD)))
-        pairs = staged(met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "pairs")
-        found = _verified(pairs, sets, least)
-        tie = live.select("key", "component")
-        between = found.join(tie.select(F.col("key").alias("a"), F.col("component").alias("x")), "a").join(
-            tie.select(F.col("key").alias("b"), F.col("component").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        renamed = staged(connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("new")), "renamed")
-        done.append(renamed)
-        rest = live.join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti").join(renamed, "component", "left")
-        rest = staged(rest.select("bucket", "key", "weight", "words", F.coalesce("new", "component").alias("component")), "rest")
+            share = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(GROWTH**turn))
+            hubs = live.join(main, "bucket").filter("component != main").groupBy("bucket", share.alias("share")).agg(F.min_by(hub, "key").alias("hub"))
+        hubs = staged(hubs.select("bucket", F.col("hub.key").alias("hub"), F.col("hub.component").alias("tie"), F.col("hub.words").alias("own"),
+                                  F.col("hub.hashes").alias("own_hashes")), "hubs")
+        close = (F.col("component") != F.col("tie")) & (_differing("words", "own") <= limit(least, WORDS, SPREAD))
+        met = live.join(hubs, "bucket").filter(close).select("bucket", "hub", "tie", "key", "component", "hashes", "own_hashes")
+        found = staged(met.filter(reaches("hashes", "own_hashes")).drop("hashes", "own_hashes"), "links")
+        links.append(found)
+        low = staged(found.groupBy("bucket", "hub").agg(F.min(F.least("component", "tie")).alias("low")), "low")
+        step = found.join(low, ["bucket", "hub"]).select("bucket", F.explode(F.array("component", "tie")).alias("component"), "low")
+        step = staged(step.groupBy("bucket", "component").agg(F.min("low").alias("new")), "step")
+        rest = live.join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti").join(step, ["bucket", "component"], "left")
+        rest = staged(rest.select("bucket", "key", "weight", "words", "hashes", F.coalesce("new", "component").alias("component")), "rest")
         open_ = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
         left = staged(rest.join(open_, "bucket", "left_semi"), "live")
-        for t in (live, hubs, pairs, found, rest):
-            if t is not live or turn:
-                discard(t)
+        for t in (live, hubs, low, step, rest):
+            discard(t)
         if left.isEmpty():
             break
         live, turn = left, turn + 1
-    labels = done[0]
-    for renamed in done[1:]:
-        labels = labels.join(renamed, "component", "left").select("key", F.coalesce("new", "component").alias("component"))
-    return staged(labels, "labels")
+    every = reduce(DataFrame.unionByName, links).select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    return connected_components(every).select(F.col("node").alias("key"), "component")
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -308,10 +329,10 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     members = staged(buckets.join(weight, "key").join(distinct, "key").select("bucket", "key", "weight", F.col("fp").alias("words")), "members")
     # Texts travel once, and only those of candidates stay.
     chosen = read.select("key", "t").join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t"))
-    sets = staged(chosen.select("key", set_of("t").alias("hashes")), "sets")
-    labels = _links(members, sets, least)
+    sets = chosen.select("key", set_of("t").alias("hashes"))
+    labels = _links(staged(members.join(sets, "key"), "sets"), least)
     labelled = staged(prints.select("id", "key").join(labels, "key", "left").select("id", "key", F.coalesce("component", "key").alias("component")), "labelled")
     smallest = staged(labelled.groupBy("component").agg(F.min("id").alias("smallest")), "smallest")
-    for table in (edges, members, sets, distinct, prints):
+    for table in (edges, members, distinct, prints):
         discard(table)
     return labelled.join(smallest, "component").select("id", "key", F.col("smallest").alias("component"))
