@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -32,9 +35,6 @@ SUBPART = r"(?Umd)^\s*\(?([a-h]|i{1,3}v?|vi{0,3})\)\s"
 EFFORT_WORDS = ["routine", "short", "medium", "hard"]
 # ---------------------------------------------------------------------------------------
 
-# Characters that NFKC leaves alone wherever they stand: ASCII, the precomposed Latin
-# letters without a compatibility form, and common punctuation.
-_NFKC_OPEN = r"[^\x00-\x7FÀ-ıĴ-ľŁ-ňŊ-ž–—‘’“”„«»¡¿§°→≤≥∈⊂]"
 _DAMAGED = r"[\x00-\x08\x0b-\x1f\x7fÿ\x{A8}\x{308}\x{E000}-\x{F8FF}]"
 _MARK = "﷐"  # a noncharacter, never part of a text
 
@@ -91,18 +91,26 @@ def fix_diaeresis(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+    return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC. Texts it cannot change are sent to Python as NULL and kept as they are."""
-    return F.coalesce(_nfkc(F.when(c.rlike(_NFKC_OPEN), c)), c)
+    """NFKC. All texts go to Python, which knows at a glance what it cannot change: an expression that looks first
+    would have the text worked out once more on either side of the call."""
+    return _nfkc(c)
+
+
+def _once(c: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` on a value that is worked out once, however often ``step`` names it."""
+    return F.get(F.transform(F.array(c), step), F.lit(0))
 
 
 def normalize(c: Column) -> Column:
     """All of the above. A text without any of the characters in question skips the repairs."""
-    repaired = _move_diaeresis(strip_undisplayable(fix_eszett(fix_ligatures(c))))
-    return nfkc(F.when(c.rlike(_DAMAGED), repaired).otherwise(c))
+    def repaired(t: Column) -> Column:
+        return F.when(t.rlike(_DAMAGED), _move_diaeresis(strip_undisplayable(fix_eszett(fix_ligatures(t))))).otherwise(t)
+
+    return nfkc(_once(c, repaired))
 
 
 def drop_page_number(text: Column, page: Column) -> Column:

@@ -33,9 +33,9 @@ def q_lines(spark, sf_dir):
 def q_normalize_roundtrip(spark, sf_dir):
     """Texts are damaged the way old fonts damage them and come back as they were."""
     text = F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ"))
-    text = F.regexp_replace(text, r"(?<=\p{L})ß", "ÿ")
-    text = F.regexp_replace(text, r"(?<=\p{L})ü", "¨u")
-    text = F.regexp_replace(text, r"(?<=\p{L})ff(?=\p{L})", "\x1b")
+    text = F.regexp_replace(text, r"ß(?<=\p{L}ß)", "ÿ")
+    text = F.regexp_replace(text, r"ü(?<=\p{L}ü)", "¨u")
+    text = F.regexp_replace(text, r"ff(?<=\p{L}ff)(?=\p{L})", "\x1b")
     text = F.replace(text, F.lit(". "), F.lit(".\x01 "))
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize(text).alias("text"))
 
