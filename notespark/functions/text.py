@@ -182,6 +182,11 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(c), F.lit("(?=(...))"), F.lit(1)))
 
 
+def trigram_codes(c: Column) -> Column:
+    """The trigrams as numbers of 31 bits. No two of the 19,683 that can be have the same number (test)."""
+    return F.transform(trigrams(c), lambda g: F.hash(g).bitwiseAND(0x7FFFFFFF))
+
+
 def base_name(c: Column) -> Column:
     """``x-1.pdf`` and ``x (1).pdf`` -> ``x.pdf``; NULL without such a suffix."""
     return non_empty(

@@ -61,28 +61,30 @@ def classify_fragments(fragments: DataFrame, cands: DataFrame, min_score: float
     head = X.strip(F.col("text"))
     opening = F.substring(head, 1, HEAD_CHARS)
     f = fragments.filter(~head.rlike(NOTES_STATEMENT)).select(
-        "scope", "frag_id", X.trigrams(F.col("text")).alias("fg"),
+        "scope", "frag_id", X.trigram_codes(F.col("text")).alias("fg"),
         X.non_empty(F.regexp_extract(opening, EXERCISE_NUMBER, 1)).alias("f_number"),
         F.regexp_extract(head, SHEET_TASK, 1).try_cast("bigint").alias("f_task"),
     ).filter(F.size("fg") >= MIN_GRAMS)
     f = staged(f, "fragments")
     c = cands.select("scope", "cand_ord", F.col("task").cast("bigint").alias("task"), "part", "number",
-                     X.trigrams(F.col("text")).alias("cg")).filter(F.size("cg") > 0)
+                     X.trigram_codes(F.col("text")).alias("cg")).filter(F.size("cg") > 0)
     c = staged(c, "candidates")
 
     postings = c.select("scope", "cand_ord", F.size("cg").alias("m"), F.explode("cg").alias("gram"))
     spread = postings.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("df"))
-    used = f.select("scope", "frag_id", F.size("fg").alias("n"), F.explode("fg").alias("gram")).join(
-        spread, ["scope", "gram"], "left")
-    # Per fragment its trigrams by rarity; a fragment is one row, so its list is short.
+    used = f.select("scope", "frag_id", F.size("fg").alias("n"), F.explode("fg").alias("gram")).join(spread, ["scope", "gram"])
+    # Per fragment its trigrams by rarity, a number of 31 bits behind each frequency; a fragment is one row, so its
+    # list is short. Those of no candidate are the rarest: they only count.
     by_rarity = used.groupBy("scope", "frag_id", "n").agg(F.array_sort(F.collect_list(
-        F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("gs"))
+        F.shiftleft("df", 31).bitwiseOR(F.col("gram").cast("bigint")))).alias("gs"))
+    absent = F.col("n") - F.size("gs")
     n, m = F.col("n"), F.col("m")
     least = F.ceil(F.least(n / SHARED_PART, min_score * n)).cast("int")
     # The smallest candidates that will do have min_score * n trigrams, all of them in common.
     keep = n - F.ceil(min_score * n - 1e-9).cast("int") + least
-    prefix = by_rarity.select("scope", "frag_id", "n", F.posexplode(F.slice("gs", F.lit(1), keep)).alias("at", "g")).filter(
-        "g.df > 0").select("scope", "frag_id", "n", "at", F.col("g.gram").alias("gram"))
+    prefix = by_rarity.select("scope", "frag_id", "n", absent.alias("absent"), F.posexplode(
+        F.slice("gs", F.lit(1), F.greatest(keep - absent, F.lit(0)))).alias("at", "g")).select(
+        "scope", "frag_id", "n", (F.col("at") + F.col("absent")).alias("at"), F.col("g").bitwiseAND(0x7FFFFFFF).cast("int").alias("gram"))
     needed = F.ceil((F.sqrt(m * m + 8 * min_score * n * m) - m) / 2 - 1e-9).cast("int")
     near = prefix.join(postings, ["scope", "gram"]).filter((needed <= m) & (F.col("at") < n - needed + least))
     pairs = near.groupBy("scope", "frag_id", "cand_ord", "n").agg(F.count(F.lit(1)).alias("shared")).filter(
