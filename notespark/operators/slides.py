@@ -19,6 +19,8 @@ OUTLINE_TITLES = [
 ]
 FURNITURE_SHARE, FURNITURE_PAGES = 0.6, 5
 HEADING_TOP = 0.2
+#: Shares in which the lines of a deck meet its size; pages of a deck that take one copy of its lists.
+LINE_SHARES, BLOCK_PAGES = 64, 256
 # ---------------------------------------------------------------------------------------
 
 
@@ -32,11 +34,13 @@ def furniture(lines: DataFrame, keys: list[str], page: str = "page", line: str =
               share: float = FURNITURE_SHARE, min_pages: int = FURNITURE_PAGES) -> DataFrame:
     """(keys, line, pages): lines on ``share`` of the pages of a deck of ``min_pages`` or more.
     A page counts once. Counting is two pre-aggregated steps, so a line that fills a deck is
-    no hot key."""
+    no hot key; what is left meets the size of its deck in shares, so neither is a deck of many lines."""
     seen = lines.groupBy(*keys, page, line).agg(F.lit(1).alias("__one"))
-    per_line = seen.groupBy(*keys, line).agg(F.count(F.lit(1)).alias("pages"))
+    per_line = seen.groupBy(*keys, line).agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= share * min_pages).withColumn(
+        "__share", F.pmod(F.xxhash64(line), F.lit(LINE_SHARES)).cast("int"))
     decks = lines.groupBy(*keys, page).agg(F.lit(1).alias("__one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"))
-    return per_line.join(decks.filter(F.col("__all") >= min_pages), keys).filter(
+    sizes = decks.filter(F.col("__all") >= min_pages).withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(LINE_SHARES - 1))))
+    return per_line.join(sizes, [*keys, "__share"]).filter(
         F.col("pages") >= share * F.col("__all")).select(*keys, line, "pages")
 
 
@@ -44,19 +48,25 @@ def _or_empty(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
+def _block() -> Column:
+    return F.coalesce(F.floor(F.col("page") / BLOCK_PAGES), F.lit(0))
+
+
 def clean_slides(pages: DataFrame, outline: DataFrame) -> DataFrame:
     """(doc_id, page, lines) without header, footer and slides that repeat the outline.
     ``outline`` has (doc_id, title).
 
     What repeats on 60 % of the slides is at most a slide's worth of lines per deck, so it
-    travels to the slides as one small array.
+    travels to the slides as one small array, once for every block of pages: a long deck is no hot key.
     """
-    slides = slide_lines(pages)
+    slides = slide_lines(pages).withColumn("__block", _block())
     marks = furniture(slides.select("doc_id", "page", F.explode("lines").alias("line")), ["doc_id"])
     lists = marks.groupBy("doc_id").agg(F.collect_list("line").alias("furniture"))
     titles = outline.filter(X.strip(F.col("title")) != "").groupBy("doc_id").agg(
         F.collect_set(X.plain_title(F.col("title"))).alias("titles"))
-    full = slides.join(lists, "doc_id", "left").join(titles, "doc_id", "left").select(
+    blocks = pages.select("doc_id", _block().alias("__block")).distinct()
+    known = blocks.join(lists, "doc_id", "left").join(titles, "doc_id", "left")
+    full = slides.join(known, ["doc_id", "__block"], "left").select(
         "doc_id", "page", "lines", _or_empty("furniture").alias("furniture"), _or_empty("titles").alias("titles"))
     return full.withColumn("lines", strip_furniture(F.col("lines"), F.col("furniture"), F.col("titles"))).filter(
         (F.size("lines") > 0) & ~is_outline(F.col("lines"), F.col("titles"))).select("doc_id", "page", "lines")
