@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -34,13 +35,20 @@ class TokenBytes(dict):
 
     def encode(self, text: str) -> bytes:
         words = split(text)
-        new = {w for w in words if w not in self}
-        known = [w for w in new if w in self.old]
-        self.update({w: self.old[w] for w in known})
-        new = list(new.difference(known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        ids = b"".join(map(self.__getitem__, words))
+        found = list(map(self.get, words))
+        if None in found:
+            # Only places of words that are not remembered are looked at again.
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            new = {words[k] for k in gaps}
+            known = new & self.old.keys()
+            self.update({w: self.old[w] for w in known})
+            new = list(new - known)
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                now = e.ids
+                self[w] = struct.pack(f"<{len(now)}I", *now)
+            for k in gaps:
+                found[k] = self[words[k]]
+        ids = b"".join(found)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()

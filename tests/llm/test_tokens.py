@@ -154,3 +154,32 @@ def test_packing_of_the_small_table(spark):
     got = packing.pack_documents(docs, JSON, with_ids=True).collect()
     check_packing(spark, rows, got)
     assert all(len(r["ids"]) == r["length"] for r in got)
+
+
+def test_remembered_words_are_looked_up_once(monkeypatch):
+    """op6: a text of words that a worker remembers costs one look at each; forgotten ones come back with the same ids."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from notespark.llm import packing
+
+    class Counted(packing.TokenBytes):
+        looks = 0
+
+        def __getitem__(self, word):
+            Counted.looks += 1
+            return super().__getitem__(word)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), Counted(path)
+    texts = ["one two two three", "", "four  five\nsix ünï", "one two two three", "seven eight nine ten eleven", "one four ten"]
+    for few in (packing.REMEMBERED, 4):
+        monkeypatch.setattr(packing, "REMEMBERED", few)
+        for text in texts:
+            assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "REMEMBERED", 300_000)
+    encoder.encode(texts[0])
+    Counted.looks = 0
+    encoder.encode(texts[0])
+    assert Counted.looks == 0
