@@ -20,6 +20,9 @@ CAPACITY = 2048
 RANK_ROWS, LEAST_ROWS = 100_000, 1_000
 #: Pre-tokens that a Python worker remembers in each of two generations.
 REMEMBERED = 300_000
+#: The character that stands for a byte in a byte-level vocabulary: printable ones for themselves, then those from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class TokenBytes(dict):
@@ -33,6 +36,20 @@ class TokenBytes(dict):
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.old: dict[str, bytes] = {}
 
+        # Without a normalizer, a pre-token goes to the model as it is, a character for each byte.
+        probe = [" ünï", "\n\n", "don", "  ", "<|", "漢字😀", "123"]
+        self.direct = self.tokenizer.normalizer is None and self.by_model(probe) == self.by_batch(probe)
+
+    def by_batch(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def by_model(self, words: list[str]) -> list[list[int]]:
+        model = self.tokenizer.model
+        return [[token.id for token in model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))] for w in words]
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        return self.by_model(words) if self.direct else self.by_batch(words)
+
     def encode(self, text: str) -> bytes:
         words = split(text)
         found = list(map(self.get, words))
@@ -43,8 +60,7 @@ class TokenBytes(dict):
             known = new & self.old.keys()
             self.update({w: self.old[w] for w in known})
             new = list(new - known)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                now = e.ids
+            for w, now in zip(new, self.ids(new)):
                 self[w] = struct.pack(f"<{len(now)}I", *now)
             for k in gaps:
                 found[k] = self[words[k]]

@@ -183,3 +183,15 @@ def test_remembered_words_are_looked_up_once(monkeypatch):
     Counted.looks = 0
     encoder.encode(texts[0])
     assert Counted.looks == 0
+
+
+def test_words_through_the_model_alone():
+    """op6: what the model makes of a pre-token is what the whole library makes of it."""
+    import public_tokenizers
+
+    from notespark.llm import packing
+    from notespark.llm.pretokens import split
+
+    encoder = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.json"))
+    words = list({w for w in split("".join(map(chr, [*range(1, 0x3000), *range(0x1F600, 0x1F640)])) + " It's  3.5\n\n\tnaïve <|endoftext|> x")})
+    assert encoder.direct and encoder.by_model(words) == encoder.by_batch(words)
