@@ -11,11 +11,11 @@ from ..session import staged
 def extract_entries(pages: DataFrame, styled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, rejected header counts) of all documents.
 
-    The verified headers are staged: they are narrow, and everything but the final cut of the
-    texts is computed from them, so the texts are matched against the patterns once.
+    The headers are staged, verified and numbered: they are narrow, and everything but the final
+    cut of the texts is computed from them.
     """
     verified = staged(H.verify_page_headers(H.header_candidates(pages), styled), "headers")
-    headers = H.number_blocks(verified.filter("accepted"))
+    headers = staged(H.number_blocks(verified.filter("accepted")), "blocks")
     numbered = headers.filter("kind = 'numbered'").select(
         "doc_id", F.col("block").alias("pos"), "type", "number", "name", "page")
     named = H.set_ids(numbered, ["doc_id"])

@@ -101,7 +101,8 @@ def q_extract_entries(spark, sf_dir):
     statements = n - proofs
     words = F.concat(F.array_repeat(F.lit("Satz"), statements - F.floor(statements / 3).cast("int")), F.array_repeat(F.lit("Beweis"), proofs))
     styled = docs.select(F.col("script").alias("doc_id"), "page", F.posexplode(words).alias("seq", "word"))
-    entries, _ = extract_entries(staged(pages, "pages"), styled)
+    # Styled words are a table of their own; derived from the texts, they would take these along into joins.
+    entries, _ = extract_entries(staged(pages, "pages"), staged(styled, "styled"))
     return entries.select("doc_id", "pos", "number", "text", "proof")
 
 

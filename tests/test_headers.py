@@ -123,3 +123,33 @@ def test_headers_inside_a_header(spark):
         plain = pattern.replace("(?U)", "(?m)").replace(r"\A", "^")
         want += [(text.count("\n", 0, m.start()), kind) for m in re.finditer(plain, text)]
     assert got == sorted(want)
+
+
+def test_texts_are_matched_once(spark, tmp_path):
+    """What reads the candidates reads a narrow table: neither the page texts nor, where no match
+    runs over several lines, a shuffle."""
+    where = str(tmp_path / "pages")
+    spark.createDataFrame([("d", p, "Satz 1.1. A\nBeweis. B\n" + "more " * 100) for p in range(20)], PAGES).write.parquet(where)
+    cands = H.header_candidates(spark.read.parquet(where))
+    assert cands.count() == 40
+    assert not [f for f in cands.inputFiles() if where in f]
+
+
+def test_cut_lines_read_as_whole_ones(spark):
+    """What is cut from a long line or a few of them never decides a header."""
+    import random
+    rnd = random.Random(5)
+    parts = ["Satz", " 1.1", "1.1.2 Lemma. ", " (", ")", "Beweis", ".", " " * 260, "7" * 260, "Index", "\u2003" * 90, "\n", "a" * 79, "b" * 151, "\u4e2d" * 160,
+             " von Lemma 2.3", "References ", "1.2 Exercises", "x y. "]
+    starts = ["Satz 1.1", "Lemma 2.3 (", "Beweis", "Index", "References", "1.1.2 Lemma", "1.2 Exercises"]
+    texts = [rnd.choice(starts) + "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], PAGES)
+    got = rows(H.header_candidates(pages), "page", "line_no", "ord", F.coalesce("name", F.lit("-")), "match_len")
+    cut, H.LINE_START = H.LINE_START, 1_000_000
+    try:
+        assert rows(H.header_candidates(pages), "page", "line_no", "ord", F.coalesce("name", F.lit("-")), "match_len") == got
+    finally:
+        H.LINE_START = cut
+    assert len(got) > 100
+    line = "w" * 300 + "."
+    assert rows(H.header_lines(spark.createDataFrame([("d", 1, line + "\nx")], PAGES), r"^\S+\.$"), F.split("rest", "\n")[0]) == [(line,)]
