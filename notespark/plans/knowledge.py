@@ -19,10 +19,7 @@ def extract_entries(pages: DataFrame, styled: DataFrame) -> tuple[DataFrame, Dat
     numbered = headers.filter("kind = 'numbered'").select(
         "doc_id", F.col("block").alias("pos"), "type", "number", "name", "page")
     named = H.set_ids(numbered, ["doc_id"])
-    texts = H.cut_blocks(pages, headers)
-    blocks = headers.filter("kind <> 'boundary'").join(texts, ["doc_id", "block"], "left").select(
-        "doc_id", "block", "kind", "target", F.coalesce("text", F.lit("")).alias("text"))
-    bodies = H.attach_followups(blocks, ["doc_id"]).select("doc_id", F.col("block").alias("pos"), "text", "proof")
+    bodies = H.cut_entries(pages, headers).withColumnRenamed("block", "pos")
     entries = named.join(bodies, ["doc_id", "pos"]).select(
         "doc_id", "pos", F.lit("numbered").alias("kind"), "type", "number",
         F.split("number", r"\.")[0].cast("int").alias("chapter"), "name", "page", "text", "proof", "id")

@@ -153,3 +153,14 @@ def test_cut_lines_read_as_whole_ones(spark):
     assert len(got) > 100
     line = "w" * 300 + "."
     assert rows(H.header_lines(spark.createDataFrame([("d", 1, line + "\nx")], PAGES), r"^\S+\.$"), F.split("rest", "\n")[0]) == [(line,)]
+
+
+def test_text_and_proof_move_once(spark, tmp_path):
+    """The last follow-up over pages goes with its statement, without a further look at the texts."""
+    where = str(tmp_path / "pages")
+    spark.createDataFrame([("d", 1, "Satz 1.1. A\nBeweis. lost\nBeweis. B"), ("d", 2, "b\nIndex\nx"), ("d", 3, "y\nBeweis. C\n"), ("d", 4, "c\nLemma 1.2")],
+                          PAGES).write.parquet(where)
+    styled = styled_of(spark, {("d", 1): ["Satz", "Beweis", "Beweis"], ("d", 3): ["Beweis"], ("d", 4): ["Lemma"]})
+    entries, _ = extract_entries(spark.read.parquet(where), styled)
+    assert rows(entries, "number", "text", "proof") == [("1.1", "A", "C\n\nc"), ("1.2", "", None)]
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
