@@ -22,14 +22,16 @@ RECALL = 0.98
 #: Standard deviations by which the distance of fingerprints may exceed what the similarity asked lets expect:
 #: of the words searched for a candidate, of all words for a pair that is worth a look at its shingles.
 SPREAD_SEARCHED, SPREAD = 2.7, 2.2
-#: Fingerprints expanded at a time, and variants that one matching group holds on average: bounds on a task's memory.
+#: Bits of a piece that may differ; the others, which larger tables have, are equal in all variants and deal the texts out.
+FREE = 24
+#: Fingerprints expanded at a time, and variants that are matched at a time: bounds on a task's memory.
 EXPAND_ROWS, GROUP_VARIANTS = 2048, 2_000_000
 #: Times as many hubs in each round.
 GROWTH = 8
 #: Odd numbers: each makes another 64 bits of a shingle's hash.
 _SALTS = np.random.default_rng(7).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
 #: Order in which pieces take their bits.
-_DEAL = np.concatenate([np.random.default_rng([8, i]).permutation(64 * SEARCHED) for i in range(8)])
+_DEAL = np.concatenate([np.random.default_rng([8, i]).permutation(64 * SEARCHED) for i in range(64)])
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -75,21 +77,31 @@ def limit(least: float, words: int, spread: float) -> int:
 def shape(rows: int, least: float = SIMILARITY) -> tuple[int, int]:
     """(bits of a piece, pieces): unlike texts seldom come within two bits, like ones do in some piece with RECALL."""
     bits = min(48, max(16, math.ceil(math.log2(max(rows, 1))) + 8))
-    p = _flips(least)
-    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    p, free = _flips(least), min(bits, FREE)
+    near = (1 - p) ** (bits - free) * sum(math.comb(free, k) * p**k * (1 - p) ** (free - k) for k in range(3))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - near))
 
 
+def _values(prints: np.ndarray, bits: int, chosen: np.ndarray) -> np.ndarray:
+    """(print, piece): the values of the pieces of these numbers."""
+    places = _DEAL[(chosen[:, None] * bits + np.arange(bits)) % len(_DEAL)]
+    spread = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, places.ravel()]
+    values = np.zeros((len(prints), len(chosen), 8), dtype=np.uint8)
+    values[:, :, :-(-bits // 8)] = np.packbits(spread.reshape(len(prints), len(chosen), bits), axis=2, bitorder="little")
+    return values.view("<u8")[:, :, 0]
+
+
+def _ball(bits: int) -> np.ndarray:
+    """What makes the variants of a piece: nothing, or one flip of a bit that may differ."""
+    return np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(min(bits, FREE), dtype=np.uint64)])
+
+
 def variants(prints: np.ndarray, bits: int, pieces: int) -> np.ndarray:
     """(print, bucket): for every piece of every fingerprint itself and what one flip makes of it, as 64-bit keys.
 
-    Pieces within two bits of each other have a variant in common.
+    Pieces within two bits of each other, all among the FREE ones, have a variant in common.
     """
-    chosen = _DEAL[np.arange(bits * pieces) % len(_DEAL)]
-    spread = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, chosen]
-    weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    values = (spread.reshape(-1, pieces, bits).astype(np.uint64) * weight).sum(axis=2, dtype=np.uint64)
-    ball = values[:, :, None] ^ np.concatenate([np.zeros(1, np.uint64), weight])
+    ball = _values(prints, bits, np.arange(pieces))[:, :, None] ^ _ball(bits)
     keys = (ball + (np.arange(pieces, dtype=np.uint64) << np.uint64(bits))[None, :, None]) * np.uint64(0x9E3779B97F4A7C15)
     return (keys ^ (keys >> np.uint64(29))).reshape(len(prints), -1)
 
@@ -149,14 +161,20 @@ def _tied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[~first]], nodes[order[~first]]
 
 
+def _homes(bits: int, pieces: int) -> int:
+    """Places where pieces meet: one for each piece and value of its bits that must be equal."""
+    return pieces << (bits - min(bits, FREE))
+
+
 def _expand(bits: int, pieces: int, groups: int, most: int):
-    """Fingerprints to packed variants, a row per matching group, and to links within the batch.
+    """Fingerprints to their pieces, packed by home and batch, and to links within the batch.
 
-    Of the members of a bucket in one batch that lie within half the limit of one of them, only
-    that one travels: so a bucket that a third of all texts share does not meet whole in one
-    task. It is marked, and later compared with a wider limit that makes up for those it stands for.
+    All variants of a piece have one home, so a fingerprint travels once a piece and is expanded there. Of the members of a
+    batch with equal pieces that lie within half the limit of one of them, only that one travels: so a piece that a third of
+    all texts share does not meet whole in one task. It is marked, and later compared with a wider limit that makes up
+    for those it stands for.
     """
-    half = most // 2
+    half, homes = most // 2, _homes(bits, pieces)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,8 +182,8 @@ def _expand(bits: int, pieces: int, groups: int, most: int):
                 part = batch.iloc[i:i + EXPAND_ROWS]
                 prints = np.ascontiguousarray(np.stack(part["fp"].tolist()).astype(np.int64)[:, :SEARCHED]).view(np.uint64)
                 keys = part["key"].to_numpy(np.int64)
-                made = variants(prints, bits, pieces)
-                owner, bucket = np.repeat(np.arange(len(keys)), made.shape[1]), made.ravel()
+                made = _values(prints, bits, np.arange(pieces)) + (np.arange(pieces, dtype=np.uint64) << np.uint64(bits))
+                owner, bucket = np.repeat(np.arange(len(keys)), pieces), made.ravel()
                 stays, marked = np.ones(made.size, bool), np.zeros(made.size, bool)
                 places, first, close, number = _stars(bucket, owner, prints, lambda f, p: half)
                 absorbed = close & (places != first)
@@ -182,37 +200,38 @@ def _expand(bits: int, pieces: int, groups: int, most: int):
                         left = left[1:][~near[1:]]
                 a, b = _tied(*np.divmod(np.unique(np.concatenate(links)), len(keys)))
                 if len(a):
-                    yield pd.DataFrame({"grp": -1, "buckets": None, "owners": None, "keys": keys[a].tobytes(), "prints": keys[b].tobytes()}, index=[0])
+                    yield pd.DataFrame({"grp": -1, "home": -1, "bits": bits, "marks": None, "keys": keys[a].tobytes(), "prints": keys[b].tobytes()}, index=[0])
                 bucket, owner, marked = bucket[stays], owner[stays], marked[stays]
-                group = (((bucket >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(group, kind="stable")
+                home = (bucket >> np.uint64(min(bits, FREE))).astype(np.int64)
+                order = np.argsort(home, kind="stable")
                 rows = []
-                for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                    used, local = np.unique(owner[own], return_inverse=True)
-                    mark = local.astype(np.uint16) | (marked[own].astype(np.uint16) << np.uint16(15))
-                    rows.append((group[own[0]], bucket[own].tobytes(), mark.tobytes(), keys[used].tobytes(), prints[used].tobytes()))
-                yield pd.DataFrame(rows, columns=["grp", "buckets", "owners", "keys", "prints"])
+                for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                    at = int(home[own[0]])
+                    rows.append((at * groups // homes, at, bits, marked[own].tobytes(), keys[owner[own]].tobytes(), prints[owner[own]].tobytes()))
+                yield pd.DataFrame(rows, columns=["grp", "home", "bits", "marks", "keys", "prints"])
 
     return run
 
 
-def _meet(most: int):
-    """Ties between the members of one matching group's buckets that are close enough, a star for each set of tied ones."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["grp"].iat[0] < 0:
-            return pd.DataFrame({"a": np.frombuffer(b"".join(pdf["keys"]), np.int64), "b": np.frombuffer(b"".join(pdf["prints"]), np.int64)})
-        bucket = np.frombuffer(b"".join(pdf["buckets"]), np.uint64)
-        marks = [np.frombuffer(o, np.uint16) for o in pdf["owners"]]
-        tables = [len(k) // 8 for k in pdf["keys"]]
-        owner = np.concatenate([(m & np.uint16(0x7FFF)).astype(np.int64) + base for m, base in zip(marks, np.cumsum([0, *tables[:-1]]))])
-        wide = (np.concatenate(marks) >> np.uint16(15)).astype(np.int64)
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.int64)
-        prints = np.frombuffer(b"".join(pdf["prints"]), "<u8").reshape(-1, SEARCHED)
-        bound = lambda f, p: most * (2 + wide[f] + wide[p]) // 2
-        places, first, close, number = _stars(bucket, owner, prints, bound)
+def _at_home(home: int, bits: int, wide: np.ndarray, prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ties (one, other) between the fingerprints of a home that share a variant and are close enough, a slice of the variants at a time."""
+    free, ball = min(bits, FREE), _ball(bits)
+    values = _values(prints, bits, np.array([home >> (bits - free)]))[:, 0] & np.uint64((1 << free) - 1)
+    slices = -(-len(values) * len(ball) // GROUP_VARIANTS)
+    bits_of_owner = np.uint64(64 - free)
+    for k in range(slices):
+        made = []
+        for flip in ball:
+            variant = values ^ flip
+            own = np.flatnonzero(variant * np.uint64(slices) >> np.uint64(free) == k) if slices > 1 else np.arange(len(values))
+            made.append(variant[own] << bits_of_owner | own.astype(np.uint64))
+        packed = np.concatenate(made)
+        packed.sort()
+        owner = (packed & np.uint64((1 << (64 - free)) - 1)).astype(np.int64)
+        bound = lambda f, p, owner=owner: most * (2 + wide[owner[f]] + wide[owner[p]]) // 2
+        places, first, close, number = _stars(packed >> bits_of_owner, owner, prints, bound)
         met = close & (places != first)
-        links = [owner[first[met]] * len(keys) + owner[places[met]]]
+        links = [owner[first[met]] * len(wide) + owner[places[met]]]
         for own in _open(places, close, number):
             near = _apart(prints[owner[own[0]]], prints[owner[own]]) <= bound(own[0], own)
             left, front = own[~near], own[1:][near[1:]].tolist()
@@ -221,11 +240,26 @@ def _meet(most: int):
                     front, left = [int(left[0])], left[1:]
                 at = front.pop()
                 near = _apart(prints[owner[at]], prints[owner[left]]) <= bound(at, left)
-                links.append(owner[at] * len(keys) + owner[left[near]])
+                links.append(owner[at] * len(wide) + owner[left[near]])
                 front.extend(left[near].tolist())
                 left = left[~near]
-        a, b = _tied(*np.divmod(np.unique(np.concatenate(links)), max(1, len(keys))))
-        return pd.DataFrame({"a": keys[a], "b": keys[b]})
+        yield np.divmod(np.unique(np.concatenate(links)), len(wide))
+
+
+def _meet(most: int):
+    """Ties between the members of one matching group's homes that are close enough, a star for each set of tied ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["grp"].iat[0] < 0:
+            return pd.DataFrame({"a": np.frombuffer(b"".join(pdf["keys"]), np.int64), "b": np.frombuffer(b"".join(pdf["prints"]), np.int64)})
+        found = [(np.array([], np.int64),) * 2]
+        for (home, bits), rows in pdf.groupby(["home", "bits"]):
+            keys = np.frombuffer(b"".join(rows["keys"]), np.int64)
+            prints = np.frombuffer(b"".join(rows["prints"]), "<u8").reshape(-1, SEARCHED)
+            wide = np.frombuffer(b"".join(rows["marks"]), np.uint8).astype(np.int64)
+            found += [(keys[a], keys[b]) for a, b in _at_home(int(home), int(bits), wide, prints, most)]
+        a, b = _tied(*map(np.concatenate, zip(*found)))
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
@@ -234,9 +268,9 @@ def near_prints(prints: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) over ``prints(key, fp array<bigint>)`` that tie together all fingerprints within the limit of ``least`` that some piece brings together."""
     rows, most = prints.count(), limit(least, SEARCHED, SPREAD_SEARCHED)
     bits, pieces = shape(rows, least)
-    groups = max(8, -(-rows * pieces * (bits + 1) // GROUP_VARIANTS))
+    groups = min(_homes(bits, pieces), max(8, -(-rows * pieces * len(_ball(bits)) // GROUP_VARIANTS)))
     packed = prints.select("key", "fp").mapInPandas(
-        _expand(bits, pieces, groups, most), "grp int, buckets binary, owners binary, keys binary, prints binary")
+        _expand(bits, pieces, groups, most), "grp int, home bigint, bits int, marks binary, keys binary, prints binary")
     # Links within a batch need no company: they are dealt out by themselves.
     spread = F.when(F.col("grp") < 0, F.xxhash64("keys")).otherwise(F.lit(0))
     return packed.withColumn("spread", spread).groupBy("grp", "spread").applyInPandas(_meet(most), "a bigint, b bigint").distinct()
@@ -310,7 +344,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     """(id, key, component): a hash of each row's text and the smallest id reachable over texts that share ``least`` of their shingles.
 
     Long SimHash fingerprints of the distinct shingles are cut into pieces; every piece emits all
-    its variants within half the radius of two bits, and texts that share a variant and whose
+    its variants within half the radius of two bits, all in one place, and texts that share a variant and whose
     fingerprints are within the limit are candidates. Before they are linked, candidates are
     compared on their shingles, so a link is never below ``least``; RECALL says how many of
     the links right at ``least`` may be missed. Null, empty and white-space texts have no shingles and

@@ -163,6 +163,36 @@ def test_widened_limits_make_up_for_what_stays_behind():
     assert len(set(root.values())) == 1
 
 
+def test_what_travels_does_not_grow_with_the_variants():
+    """For three million rows, three times the 1.5 KB that a row of documents has on disk is more than a fingerprint's pieces weigh."""
+    bits, pieces = similar.shape(3_000_000)
+    prints = np.random.default_rng(1).integers(-2**63, 2**63 - 1, (2048, similar.WORDS))
+    packed = pd.concat(similar._expand(bits, pieces, 1000, 99)(iter([pd.DataFrame({"key": np.arange(2048), "fp": list(prints)})])))
+    held = [x for c in packed for x in packed[c] if isinstance(x, bytes)]
+    assert sum(map(len, held)) < 4500 * 2048
+
+
+def test_homes_find_what_variants_share(monkeypatch):
+    """Pairs of two batches: tied where they share a variant within the limit, also where a home is matched in slices."""
+    rng = np.random.default_rng(2)
+    bits, pieces = similar.shape(400_000)
+    assert bits > similar.FREE
+    most, n = similar.limit(0.8, similar.SEARCHED, similar.SPREAD_SEARCHED), 500
+    one = rng.integers(0, 2, (n, 64 * similar.SEARCHED), dtype=np.uint8)
+    other = one ^ (rng.random(one.shape) < rng.uniform(0.05, 0.25, (n, 1)))
+    prints = [np.packbits(x, axis=1, bitorder="little").view("<u8") for x in (one, other.astype(np.uint8))]
+    some, more = (similar.variants(p, bits, pieces) for p in prints)
+    want = {(i, n + i) for i in range(n) if len(np.intersect1d(some[i], more[i])) and similar._apart(prints[0][i], prints[1][i]) <= most}
+    assert n // 4 < len(want) < n
+    full = [np.concatenate([p.view(np.int64), np.zeros((n, similar.WORDS - similar.SEARCHED), np.int64)], axis=1) for p in prints]
+    for slice_ in (similar.GROUP_VARIANTS, 50):
+        monkeypatch.setattr(similar, "GROUP_VARIANTS", slice_)
+        packed = pd.concat([x for k in (0, 1) for x in similar._expand(bits, pieces, 5, most)(iter([pd.DataFrame({"key": np.arange(n) + k * n, "fp": list(full[k])})]))])
+        assert packed["grp"].nunique() == 5
+        found = pd.concat([similar._meet(most)(part) for _, part in packed.groupby("grp")])
+        assert {(min(x), max(x)) for x in found.to_numpy().tolist()} == want
+
+
 def test_stars_tie_what_links_tie():
     rng = np.random.default_rng(6)
     for _ in range(200):
